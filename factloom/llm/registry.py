@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "secret_scan", "license_scan", "gif_media", "orc_tokens", "packing", "near_dup", "toxicity", "lm_score")
+MODULES = ("exact_dedup", "secret_scan", "license_scan", "gif_media", "orc_tokens", "packing", "near_dup", "toxicity", "lm_score", "sentence_pieces")
 
 
 def queries() -> dict:
