@@ -61,11 +61,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
         code = encoder(tokenizer, False)
         for whole in batches:
             for batch in slices(whole):
-                ids = [np.frombuffer(x, "<u4") for x in code.encode(batch.column(1).to_pylist())]
-                ends = np.cumsum([0, *(len(x) + 1 for x in ids)])
+                found, rows = code.encode(batch.column(1))
+                ends = rows + np.arange(len(rows))
                 flat = np.full(ends[-1], end_id, np.int32)
-                for x, at in zip(ids, ends[:-1].tolist(), strict=True):
-                    flat[at : at + len(x)] = x
+                inside = np.ones(ends[-1], bool)
+                inside[ends[1:] - 1] = False
+                flat[inside] = found
                 yield pa.record_batch([batch.column(2), batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["part", "doc_id", "ids"])
 
     encoded = ranged.mapInArrow(run, "part int, doc_id long, ids array<int>")
@@ -89,7 +90,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             at, flat = lists.offsets.to_numpy(), np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4"))
-            raw = memoryview(flat).cast("B")
+            raw = memoryview(flat.tobytes())
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
 
