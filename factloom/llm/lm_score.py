@@ -7,7 +7,7 @@ token is scored by counts from which it has been taken out.
 
 Counting and scoring share one exchange. Texts are read once, in batches of
 some megabytes; a batch stores its tokens as indexes into its own distinct words
-and distinct word pairs and asks once for the count of each, sending along what
+and asks once for the count of each word and pair, sending along what
 it adds to the training counts. Requests are ranged by hash; what moves are sorted
 hash lists, coded by differences and compressed. A hot word moves once per
 batch. Answers return to their batch, which scores its texts. Word counts are by
@@ -91,7 +91,6 @@ def batches_of(docs: DataFrame, parts: int) -> DataFrame:
                 before = np.roll(h, 1)
                 before[at[:-1]] = START
                 out = []
-                indexes = []
                 for kind, keys in ((WORD, h), (PAIR, pair_up(before, h) >> PAIR_BITS)):
                     ids, index = np.unique(keys, return_inverse=True)
                     add = np.bincount(index[token_learns], minlength=len(ids)).astype("<u4")
@@ -99,13 +98,15 @@ def batches_of(docs: DataFrame, parts: int) -> DataFrame:
                     part = ((ids >> top).astype(np.int64) * parts) >> 24
                     cut = np.searchsorted(part, np.arange(parts + 1))
                     out += [(kind, name, p, steps(ids[cut[p] : cut[p + 1]]), squeeze(add[cut[p] : cut[p + 1]])) for p in range(parts) if cut[p] < cut[p + 1]]
-                    indexes.append(squeeze(index.astype("<u4")))
+                    if kind == WORD:
+                        told = [steps(ids), squeeze(index.astype("<u4"))]
+                    del index
                 keys = batch.column(0)
                 meta = pa.BufferOutputStream()
                 with pa.ipc.new_stream(meta, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("learn", pa.bool_())])) as sink:
                     sink.write_batch(pa.record_batch([keys, pa.array(np.diff(at)), pa.array(learn)], ["doc_id", "n", "learn"]))
-                lengths = np.array([len(x) for x in indexes], "<i8").tobytes()
-                out.append((TEXTS, name, -1, meta.getvalue().to_pybytes(), lengths + b"".join(indexes)))
+                lengths = np.array([len(x) for x in told], "<i8").tobytes()
+                out.append((TEXTS, name, -1, meta.getvalue().to_pybytes(), lengths + b"".join(told)))
                 kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "batch", "part", "x", "y"])
 
@@ -126,10 +127,10 @@ def answers(requests: DataFrame) -> DataFrame:
                 continue
             keys = [from_steps(x[k]) for k in mine]
             ids, index = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(index, np.concatenate([expand(y[k], "<u4") for k in mine]), len(ids)).astype("<u8")
+            total = np.bincount(index, np.concatenate([expand(y[k], "<u4") for k in mine]), len(ids)).astype(np.int64)
             at = 0
             for k, own in zip(mine, keys, strict=True):
-                rows.append((kind, int(names[k]), part, squeeze(total[index[at : at + len(own)]])))
+                rows.append((kind, int(names[k]), part, squeeze(total[index[at : at + len(own)]].astype("<u8"))))
                 at += len(own)
             if kind == WORD:
                 rows.append((COUNTS, -1, part, np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
@@ -145,19 +146,21 @@ class Batch:
         meta = pa.ipc.open_stream(texts.column("x")[0].as_py()).read_all()
         self.doc_id, self.n, self.learn = meta.column(0), meta.column(1).to_numpy(), meta.column(2).to_numpy()
         raw = texts.column("y")[0].as_py()
-        sizes = np.frombuffer(raw, "<i8", 2)
+        cut = 16 + int(np.frombuffer(raw, "<i8", 1)[0])
+        ids, word = from_steps(raw[16:cut]), expand(raw[cut:], "<u4")
         kinds, parts, counts = replies.column("kind").to_numpy(), replies.column("part").to_numpy(), replies.column("x")
-        found = []
-        at = 16
-        for kind, size in zip((WORD, PAIR), sizes.tolist(), strict=True):
+
+        def told(kind: int) -> np.ndarray:
             mine = np.flatnonzero(kinds == kind)
-            mine = mine[np.argsort(parts[mine])]
-            table_ = np.concatenate([expand(counts[int(k)].as_py(), "<u8") for k in mine]).astype(np.int64)
-            found.append(table_[expand(raw[at : at + size], "<u4")])
-            at += size
-        self.word, self.pair = found
+            return np.concatenate([expand(counts[int(k)].as_py(), "<u8") for k in mine[np.argsort(parts[mine])]]).astype(np.int64)
+
         ends = np.cumsum(self.n)
         self.first = ends - self.n
+        h = ids[word]
+        before = np.roll(h, 1)
+        before[self.first] = START
+        _, pair = np.unique(pair_up(before, h) >> PAIR_BITS, return_inverse=True)
+        self.word, self.pair = told(WORD)[word], told(PAIR)[pair]
         self.context = np.roll(self.word, 1)
         self.context[self.first] = rows_learned
         self.row = np.repeat(np.arange(len(self.n)), self.n)
@@ -224,13 +227,23 @@ def scores(spark: SparkSession, docs: DataFrame, learn, id_col: str = "doc_id",
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learn says which rows train."""
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    stored = scratch.save(batches_of(rows, partitions(spark)), "stored")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if rows.isEmpty():
+        return spark.createDataFrame([], schema)
+    path = f"{scratch.path}/stored"
+    batches_of(rows, partitions(spark)).write.partitionBy("kind").option("compression", "none").parquet(path)
+    stored = spark.read.schema("kind int, batch long, part int, x binary, y binary").parquet(path)
     replies = scratch.save(answers(stored.filter(F.col("kind") < COUNTS)), "replies")
+    for kind in (WORD, PAIR):
+        scratch.drop(f"stored/kind={kind}")
+    scratch.settle()
+    stored = spark.read.schema("batch long, part int, x binary, y binary").parquet(f"{path}/kind={TEXTS}").withColumn("kind", F.lit(TEXTS))
     sums = [np.frombuffer(r.x, "<i8") for r in replies.filter(F.col("kind") == COUNTS).select("x").collect()]
     total, distinct = (int(sum(x[k] for x in sums)) for k in (0, 1))
     rows_learned = rows.filter("learn").count()
     batches = with_replies(stored, replies)
     weights = learn_weights(deleted_estimates(batches, total, rows_learned).collect(), distinct)
+    scratch.settle()
 
     def run(group: pa.Table) -> pa.Table:
         b = split(group, rows_learned)
@@ -251,7 +264,7 @@ def scores(spark: SparkSession, docs: DataFrame, learn, id_col: str = "doc_id",
             }
         )
 
-    return batches.groupBy("batch").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return batches.groupBy("batch").applyInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
