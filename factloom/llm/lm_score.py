@@ -197,7 +197,7 @@ def deleted_estimates(batches: DataFrame, total: int, rows_learned: int) -> Data
         code = np.stack([buckets(context), *(np.where(f > 0, np.round(FINE * np.log2(np.maximum(f, 1e-300))), 9999).astype(np.int64) for f in (f2, f1))])
         flat = (code[0] * 20000 + code[1] + 10000) * 20000 + code[2] + 10000
         ids, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-        return pa.table({"cell": ids, "n": n.astype(np.int64), "f2": np.bincount(at, f2, len(ids)), "f1": np.bincount(at, f1, len(ids))})
+        return pa.table({"cell": ids, "n": n.astype(np.int64), "f2": np.bincount(at, f2, len(ids)).astype(float), "f1": np.bincount(at, f1, len(ids)).astype(float)})
 
     cells = batches.groupBy("batch").applyInArrow(run, "cell long, n long, f2 double, f1 double")
     return cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "f2", "f1")))
