@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, hot_join, table, workers_import
+from factloom.llm.common import Scratch, hot_join, partitions, table, workers_import
 from factloom.llm.tokens import tokenizer_path
 
 NAME = "op2_sentence_pieces"
@@ -50,21 +50,26 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, score double, byte int")
 
 
-def word_list(text: Column) -> Column:
-    """Words of a text, each with the marks before it."""
+def word_list(text: Column, lines: bool = False) -> Column:
+    """Words of a text, each with the marks before it. lines: line ends stand alone, as no piece holds one."""
     whole = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, f"(?<=[^{MARK}])(?={MARK})"))
+    cut = f"(?<=[^{MARK}])(?={MARK})" + ("|(?<=\n)|(?=\n)" if lines else "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.filter(F.split(whole, cut), lambda x: x != ""))
 
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word and edges (map from substring to score) of distinct words."""
+    """word and edges (map from substring of two characters or more to score) of distinct words.
+
+    Words are dealt by themselves once; substrings fall to the broadcast piece table before they are grouped, so none moves.
+    """
     longest = pieces.agg(F.max(F.length("piece"))).first()[0]
-    spans = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-    spans = spans.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("at") + 1))).alias("n"), "at")
-    parts = spans.select("word", F.substring(F.col("word"), F.col("at"), F.col("n")).alias("piece")).distinct()
+    words = words.select("word").repartition(partitions(words.sparkSession), "word")
+    spans = words.filter(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
+    spans = spans.select("word", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(longest), F.length("word") - F.col("at") + 1)))).alias("n"), "at")
+    parts = spans.select("word", F.substring(F.col("word"), F.col("at"), F.col("n")).alias("piece"))
     known = F.broadcast(pieces.filter("piece is not null").select("piece", "score"))
-    edges = parts.join(known, "piece").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("piece", "score"))).alias("edges"))
-    return words.select("word").join(edges, "word", "left")
+    edges = parts.join(known, "piece").groupBy("word").agg(F.map_from_entries(F.collect_set(F.struct("piece", "score"))).alias("edges"))
+    return words.join(edges, "word", "left")
 
 
 def merged(word: Column, edges: Column) -> Column:
@@ -117,9 +122,12 @@ def encode_words(spark: SparkSession, words: DataFrame, pieces: DataFrame, model
 
         m = sentencepiece.SentencePieceProcessor(model_file=model)
         for batch in batches:
-            texts = [x.replace(MARK, " ") for x in batch.column(0).to_pylist()]
-            # The library puts a mark before a text, so the word's own first one goes.
-            yield pa.record_batch([batch.column(0), pa.array([m.encode(x[1:]) for x in texts], pa.list_(pa.int32()))], ["word", "ids"])
+            ids = []
+            for word in batch.column(0).to_pylist():
+                # The library puts a mark before a text, so the word's own first one goes. A word without one follows a line end.
+                text = word.replace(MARK, " ")
+                ids.append(m.encode(text[1:]) if word[0] == MARK else m.encode("\n" + text)[len(m.encode("\n")) :])
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     long = words.filter(F.length("word") > LONG).mapInArrow(run, "word string, ids array<int>")
     return folded.unionByName(long)
@@ -129,8 +137,9 @@ def encode(spark: SparkSession, rows: DataFrame, model: str, text_col: str = "te
     """rows with ids, an array of piece ids of text_col; row is a number of the row that must not be among rows' columns."""
     scratch = Scratch(spark)
     pieces = piece_table(spark, model)
+    lines = pieces.filter(F.contains("piece", F.lit("\n"))).isEmpty()
     kept = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    apart = kept.select("row", F.posexplode(word_list(F.coalesce(F.col(text_col), F.lit("")))).alias("at", "word"))
+    apart = kept.select("row", F.posexplode(word_list(F.coalesce(F.col(text_col), F.lit("")), lines)).alias("at", "word"))
     counted = scratch.save(apart.groupBy("word").agg(F.count("*").alias("times")), "words")
     total = counted.agg(F.sum("times")).first()[0] or 0
     coded = scratch.save(encode_words(spark, counted, pieces, model).join(counted, "word"), "coded")

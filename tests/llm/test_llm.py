@@ -340,7 +340,8 @@ def test_sentence_pieces_equal_the_library(spark, docs, nothing):
 
     model = tokens.tokenizer_path("piece_bpe_32k.model")
     m = sentencepiece.SentencePieceProcessor(model_file=model)
-    few = docs.filter("doc_id < 60")
+    more = spark.createDataFrame([(900, "a\n" + "b" * 70 + " c\n\n d", "x", 0), (901, "\n", "x", 0), (902, " \n x\n ", "x", 0)], docs.schema)
+    few = docs.filter("doc_id < 60").unionByName(more)
     coded = Scratch(spark).save(sentence_pieces.encode(spark, few, model).withColumn("row", F.monotonically_increasing_id()), "coded")
     rows = coded.collect()
     assert len(rows) == few.count() and all(list(r.ids) == m.encode(r.text or "") for r in rows)
