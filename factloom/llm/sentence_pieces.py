@@ -7,12 +7,14 @@ fold with higher-order functions turns word and edges into pieces: for unigram
 tables the best path (Viterbi), for BPE tables, whose scores are merge ranks and
 for which the best path is not the encoder's answer, the merges in order of
 rank, the leftmost first. Characters without a piece become their UTF-8 bytes'
-pieces. Words meet their texts again by a join that broadcasts hot words.
+pieces. Texts are in batches of some megabytes; a batch asks once for each of its
+distinct words, so a hot word moves once per batch, and the answers meet the batch
+again, which puts ids in the order of its words.
 
 The fold costs the square of a word's length, so words of over LONG characters
 are encoded by the library, from the same model file.
 
-Decoding explodes ids, joins them to the pieces, and puts bytes together.
+Decoding puts the bytes of a row's pieces together, where the row is.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to an
 empty text; repeated rows are encoded alike; unknown ids decode to nothing;
@@ -21,16 +23,23 @@ columns other than those named are ignored.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.taskcontext import TaskContext
 
-from factloom.llm.common import Scratch, hot_join, partitions, table, workers_import
+from factloom.llm.common import Scratch, arrow_map, partitions, slices, table, workers_import
 from factloom.llm.tokens import tokenizer_path
 
 NAME = "op2_sentence_pieces"
 MARK = "▁"
 LONG = 48
+#: Text bytes of a batch.
+BATCH_BYTES = 16 << 20
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -50,11 +59,48 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, score double, byte int")
 
 
-def word_list(text: Column, lines: bool = False) -> Column:
-    """Words of a text, each with the marks before it. lines: line ends stand alone, as no piece holds one."""
-    whole = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    cut = f"(?<=[^{MARK}])(?={MARK})" + ("|(?<=\n)|(?=\n)" if lines else "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.filter(F.split(whole, cut), lambda x: x != ""))
+def word_pattern(lines: bool) -> re.Pattern:
+    """Words of a marked text, each with the marks before it. lines: line ends stand alone, as no piece holds one."""
+    return re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
+
+def words_of(text: str | None, pattern: re.Pattern) -> list[str]:
+    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def numbered(rows: DataFrame, name: str, text_col: str) -> DataFrame:
+    """rows with name, the number of a batch of about BATCH_BYTES of text; a batch's rows come from one task."""
+    workers_import(rows.sparkSession)
+    at = rows.columns.index(text_col)
+
+    def run(batches):
+        number, filled = TaskContext.get().partitionId() << 32, 0
+        for whole in batches:
+            for batch in slices(whole, BATCH_BYTES // 8):
+                yield pa.record_batch([*batch.columns, pa.array(np.full(batch.num_rows, number))], [*batch.schema.names, name])
+                filled += batch.column(at).nbytes
+                if filled >= BATCH_BYTES:
+                    number, filled = number + 1, 0
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType())]))
+
+
+def batch_words(kept: DataFrame, name: str, text_col: str, pattern: re.Pattern) -> DataFrame:
+    """batch and word, the distinct words of every batch; a hot word moves once per batch."""
+
+    def run(batches):
+        now, seen = None, set()
+        for batch in batches:
+            for text, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if number != now:
+                    if seen:
+                        yield pa.record_batch([pa.array([now] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["batch", "word"])
+                    now, seen = number, set()
+                seen.update(words_of(text, pattern))
+        if seen:
+            yield pa.record_batch([pa.array([now] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["batch", "word"])
+
+    return kept.select(text_col, name).mapInArrow(run, "batch long, word string")
 
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -72,19 +118,41 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return words.join(edges, "word", "left")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def merged(word: Column, edges: Column) -> Column:
-    """Symbols of a word after all merges: the best-scored pair first, of equals the leftmost."""
+    """Symbols of a word after all merges: the best-scored pair first, of equals the leftmost.
+
+    The state holds the symbols and the score of each with its right neighbour;
+    a merge looks up two new pairs and cuts the rest out of the state before.
+    """
     lowest = F.lit(-1e300)
+    none = F.array().cast("array<double>")
+
+    def score(left: Column, right: Column) -> Column:
+        return F.coalesce(F.try_element_at(edges, F.concat(left, right)), lowest)
 
-    def step(now: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(now) - 1), lambda i: F.struct(F.coalesce(F.try_element_at(edges, F.concat(F.element_at(now, i), F.element_at(now, i + 1))), lowest).alias("score"), (-i).alias("i")))
-        best = F.when(F.size(now) > 1, F.array_max(pairs))
-        i = -best["i"]
-        joined = F.array(F.concat(F.element_at(now, i), F.element_at(now, i + 1)))
-        return F.when(best["score"] > lowest, F.concat(F.slice(now, F.lit(1), i - 1), joined, F.slice(now, i + 2, F.size(now)))).otherwise(now)
+    def at(state: Column, i: Column) -> Column:
+        now, value, rest = state["now"], state["score"], F.size(state["now"])
+
+        def put(one: Column) -> Column:
+            before = F.when(i > 1, F.concat(F.slice(value, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(score(F.element_at(now, i - 1), one)))).otherwise(none)
+            after = F.when(i + 1 < rest, F.concat(F.array(score(one, F.element_at(now, i + 2))), F.slice(value, i + 2, rest))).otherwise(none)
+            symbols = F.concat(F.slice(now, F.lit(1), i - 1), F.array(one), F.slice(now, i + 2, rest))
+            return F.struct(symbols.alias("now"), F.concat(before, after).alias("score"))
+
+        return let(F.concat(F.element_at(now, i), F.element_at(now, i + 1)), put)
+
+    def step(state: Column, _: Column) -> Column:
+        return let(F.array_max(state["score"]), lambda best: F.when(best > lowest, let(F.array_position(state["score"], best).cast("int"), lambda i: at(state, i))).otherwise(state))
 
     start = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.substring(word, k, F.lit(1)))
-    return F.when(edges.isNull(), start).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step))
+    pairs = F.when(F.length(word) > 1, F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda k: F.coalesce(F.try_element_at(edges, F.substring(word, k, F.lit(2))), lowest))).otherwise(none)
+    state = F.struct(start.alias("now"), pairs.alias("score"))
+    return F.when(edges.isNull(), start).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word)), state, step)["now"])
 
 
 def best_path(word: Column, edges: Column, longest: int, unknown: float = -100.0) -> Column:
@@ -134,36 +202,51 @@ def encode_words(spark: SparkSession, words: DataFrame, pieces: DataFrame, model
 
 
 def encode(spark: SparkSession, rows: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """rows with ids, an array of piece ids of text_col; row is a number of the row that must not be among rows' columns."""
+    """rows with ids, an array of piece ids of text_col, a string."""
     scratch = Scratch(spark)
     pieces = piece_table(spark, model)
-    lines = pieces.filter(F.contains("piece", F.lit("\n"))).isEmpty()
-    kept = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    apart = kept.select("row", F.posexplode(word_list(F.coalesce(F.col(text_col), F.lit("")), lines)).alias("at", "word"))
-    counted = scratch.save(apart.groupBy("word").agg(F.count("*").alias("times")), "words")
-    total = counted.agg(F.sum("times")).first()[0] or 0
-    coded = scratch.save(encode_words(spark, counted, pieces, model).join(counted, "word"), "coded")
-    joined = hot_join(apart, coded, "word", "times", total)
-    ids = joined.groupBy("row").agg(F.flatten(F.sort_array(F.collect_list(F.struct("at", "ids")))["ids"]).alias("ids"))
-    return kept.join(ids, "row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop("row")
+    pattern = word_pattern(pieces.filter(F.contains("piece", F.lit("\n"))).isEmpty())
+    name = next(f"batch{k}" for k in range(len(rows.columns) + 1) if f"batch{k}" not in rows.columns)
+    kept = scratch.save(numbered(rows, name, text_col), "rows")
+    asked = scratch.save(batch_words(kept, name, text_col, pattern), "asked")
+    coded = scratch.save(encode_words(spark, asked.select("word").distinct(), pieces, model), "coded")
+    answers = asked.join(coded, "word").select("batch", "word", "ids")
+    names = rows.columns
+    at = names.index(text_col)
+
+    def assemble(group: pa.Table, told: pa.Table) -> pa.Table:
+        ids = told.column("ids").combine_chunks()
+        flat, cuts = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+        first, size = cuts[:-1] - cuts[:1], np.diff(cuts)
+        place = {w: k for k, w in enumerate(told.column("word").to_pylist())}
+        found = [[place[w] for w in words_of(text, pattern)] for text in group.column(at).to_pylist()]
+        word = np.fromiter((k for x in found for k in x), np.int64)
+        n = size[word]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(first[word] - ends + n, n) + np.arange(int(n.sum()))]
+        offsets = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
+        return pa.table([*group.columns[: len(names)], lists], names=[*names, "ids"])
+
+    schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    return kept.groupBy(name).cogroup(answers.groupBy("batch")).applyInArrow(assemble, schema)
 
 
 def decode(spark: SparkSession, rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """rows with out_col, the text of ids_col; rows must have a unique column row."""
-    pieces = piece_table(spark, model)
-    raw = F.when(F.col("byte").isNotNull(), F.lpad(F.hex("byte"), 2, "0")).otherwise(F.hex(F.encode("piece", "utf-8")))
-    parts = rows.select("row", F.posexplode(ids_col).alias("at", "id")).join(F.broadcast(pieces.select("id", raw.alias("hex"))), "id")
-    texts = parts.groupBy("row").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "hex")))["hex"], "").alias("hex"))
-    whole = F.decode(F.unhex("hex"), "utf-8")
-    plain = F.replace(whole, F.lit(MARK), F.lit(" "))
-    texts = texts.select("row", F.when(plain.startswith(" "), F.substring(plain, 2, 1 << 30)).otherwise(plain).alias(out_col))
-    return rows.join(texts, "row", "left").withColumn(out_col, F.coalesce(out_col, F.lit("")))
+    """rows with out_col, the text of ids_col; no row moves."""
+    raw = {r.id: bytes([r.byte]) if r.byte is not None else r.piece.encode() for r in piece_table(spark, model).collect()}
+    at = rows.columns.index(ids_col)
+
+    def run(batch):
+        texts = [b"".join([raw.get(k, b"") for k in ids or ()]).decode(errors="replace").replace(MARK, " ").removeprefix(" ") for ids in batch.column(at).to_pylist()]
+        yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
+
+    return arrow_map(rows, run, StructType([*rows.schema.fields, StructField(out_col, StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of conversations encoded, and decoded again."""
     model = tokenizer_path("piece_bpe_32k.model")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    coded = Scratch(spark).save(encode(spark, turns, model).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    back = decode(spark, coded, model)
+    back = decode(spark, encode(spark, turns, model), model)
     return back.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
