@@ -1,9 +1,8 @@
-"""Source trees as DataFrames: discovery, content, hashes, and facts extracted from Python files."""
+"""Source trees as DataFrames: discovery, content, hashes, and facts extracted from source files."""
 
 from __future__ import annotations
 
 import ast
-import hashlib
 import os
 import subprocess
 from collections.abc import Iterator
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import patterns as P
+from factloom.functions.ids import fact_id
+from factloom.sources.lexical import LANGUAGES, LexicalFacts
 
 #: Folders that a walk without git leaves out, beside those that begin with a dot.
 LEFT_OUT = ("node_modules", "vendor", "__pycache__")
@@ -49,11 +50,6 @@ def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = ()
     return rows.select("path", "language", "content", F.sha2("content", 256).alias("hash"), P.line_count(text).cast("int").alias("line_count"))
 
 
-def fact_id(*parts) -> int:
-    """A positive long from natural keys."""
-    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode(), digest_size=8).digest(), "big") >> 1
-
-
 FACT = "path string, fact string, id long, name string, kind string, owner long, detail string, start_line int, start_col int, end_line int, end_col int"
 
 
@@ -173,18 +169,30 @@ class PythonFacts(ast.NodeVisitor):
             self.add("reference", node, node.id, "type_annotation" if node.id[:1].isupper() else "read", self.scopes[-1])
 
 
-def python_facts(files: DataFrame) -> DataFrame:
-    """Facts of every Python file of ``source_files``, one tagged row each; files that do not parse give none."""
+def facts_of(path: str, content: bytes, language: str) -> list[tuple]:
+    """Facts of one file; none if Python does not parse it."""
+    if language in LANGUAGES:
+        return LexicalFacts(path, content.decode(errors="replace"), language).rows
+    try:
+        return PythonFacts(path, ast.parse(content), content.count(b"\n") + 1).rows
+    except (SyntaxError, ValueError):
+        return []
+
+
+def source_facts(files: DataFrame) -> DataFrame:
+    """Facts of every file of ``source_files``, one tagged row each; files are read and parsed one by one on executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("fact", pa.string()), ("id", pa.int64()), ("name", pa.string()), ("kind", pa.string()), ("owner", pa.int64()), ("detail", pa.string()), *((x, pa.int32()) for x in ("start_line", "start_col", "end_line", "end_col"))])
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    tree = ast.parse(content)
-                except (SyntaxError, ValueError):
-                    continue
-                rows = PythonFacts(path, tree, content.count(b"\n") + 1).rows
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*((path, *r) for r in rows), strict=True), schema, strict=True)], schema=schema)
-
-    return files.filter("language = 'python'").select("path", "content").mapInArrow(run, FACT)
+            for path, content, language in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = facts_of(path, content, language)
+                if rows:
+                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*((path, *r) for r in rows), strict=True), schema, strict=True)], schema=schema)
+
+    return files.filter(F.col("language").isin("python", *LANGUAGES)).select("path", "content", "language").mapInArrow(run, FACT)
+
+
+def python_facts(files: DataFrame) -> DataFrame:
+    """Facts of the Python files alone."""
+    return source_facts(files.filter("language = 'python'"))
