@@ -1,4 +1,7 @@
-"""Command line: ``python -m factloom QUERY DIRECTORY [--format json|text] [--limit N]``."""
+"""Command line: ``python -m factloom QUERY DIRECTORY [--format json|text] [--limit N] [--indexed]``.
+
+``python -m factloom index TREE --out FOLDER`` makes the fact tables that ``--indexed`` queries read.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +11,30 @@ from pyspark.sql import SparkSession
 
 from factloom.functions.patterns import page
 from factloom.plans import registry
+from factloom.sources.index import Indexed, index
 from factloom.sources.tables import as_json
 
 
 def main() -> None:
     known = registry.queries()
     args = argparse.ArgumentParser(prog="factloom")
-    args.add_argument("query", choices=sorted(known), metavar="QUERY")
+    args.add_argument("query", choices=["index", *sorted(known)], metavar="QUERY")
     args.add_argument("directory")
     args.add_argument("--format", choices=("json", "text"), default="json")
     args.add_argument("--limit", type=int)
     args.add_argument("--offset", type=int, default=0)
+    args.add_argument("--indexed", action="store_true")
+    args.add_argument("--out")
+    args.add_argument("--languages", default="")
     got = args.parse_args()
     spark = SparkSession.builder.appName("factloom").getOrCreate()
+    if got.query == "index":
+        if not got.out:
+            args.error("index needs --out")
+        index(spark, got.directory, got.out, tuple(x for x in got.languages.split(",") if x))
+        return
     limit, offset = page(got.limit, got.offset)
-    rows = known[got.query](spark, got.directory).offset(offset).limit(limit)
+    rows = (registry.CATALOG[got.query][0](Indexed(spark, got.directory)) if got.indexed else known[got.query](spark, got.directory)).offset(offset).limit(limit)
     if got.format == "text":
         rows.show(limit, truncate=False)
     else:

@@ -187,16 +187,16 @@ class LexicalFacts:
 
     def header(self, h: list[Token], opens: bool, end: Token) -> bool:
         """Declares what a header says; if it opens a body, pushes its frame. Says whether its names may be references."""
-        words, k = [], 0
+        words, notes, k = [], [], 0
         while k < len(h):
             t = h[k]
             if t.text == "@" and k + 1 < len(h) and self.language in ("java", "typescript", "javascript"):
                 stop = bracket(h, k + 2) if k + 2 < len(h) and h[k + 2].text == "(" else k + 1
-                self.add("annotation", h[k + 1].text, "decorator", None, joined(h[k + 2 : stop + 1]), t, h[stop])
+                notes.append((h[k + 1].text, "decorator", joined(h[k + 2 : stop + 1]), t, h[stop]))
                 k = stop + 1
             elif t.text == "#" and k + 1 < len(h) and h[k + 1].text == "[":
                 stop = bracket(h, k + 1)
-                self.add("annotation", joined(h[k + 2 : stop]), "attribute", None, "", t, h[stop])
+                notes.append((joined(h[k + 2 : stop]), "attribute", "", t, h[stop]))
                 k = stop + 1
             elif (t.text in MODIFIERS and (t.text, self.language) != ("static", "rust")) or (t.text == "const" and k + 1 < len(h) and h[k + 1].text in ("fn", "enum")):
                 words.append(t.text)
@@ -221,6 +221,8 @@ class LexicalFacts:
         before = len(self.frames)
         if body and not self.keyword(body, words, opens, first, end):
             self.shape(body, words, opens, first, end)
+        for name, kind, detail, t, stop in notes:
+            self.add("annotation", name, kind, self.frames[-1].owner if len(self.frames) > before else None, detail, t, stop)
         if opens and len(self.frames) == before:
             inside = bool(body) and body[0].text == "impl"
             self.push("impl" if inside else "block", "impl" if inside else "", self.implemented(body) if inside else None, end)
