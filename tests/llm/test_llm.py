@@ -381,3 +381,32 @@ def test_pipeline(spark, small):
         seen = kept
     got = corpus_pipeline.run(spark, small)
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in seen.collect()}
+
+
+def test_pipeline_links_near_copies_of_five_words_at_four_fifths(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    texts = {}
+    for group in range(8):
+        base = [f"w{r.randrange(10**6)}" for _ in range(140)]
+        for k in range(4):
+            copy = list(base)
+            for at in range(k):
+                copy[20 + 40 * at] = f"e{r.randrange(10**6)}"
+            texts[10 * group + k] = " ".join(copy)
+    texts[90] = None
+
+    def kept_by(n, percent):
+        sets = {k: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for k, w in ((k, (t or "").split()) for k, t in texts.items())}
+        root = {k: k for k in sets}
+        for _ in sets:
+            for a in sets:
+                for b in sets:
+                    if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+        return {k for k in sets if root[k] == k}
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == kept_by(5, 80) != kept_by(4, 85)
