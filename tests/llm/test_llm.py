@@ -335,6 +335,31 @@ def test_toxicity_on_held_out_rows(spark, nothing):
     assert toxicity.keep_clean(rows, empty).count() == 2 and toxicity.score(nothing, empty).isEmpty()
 
 
+def test_toxicity_of_a_cut_class_equals_that_of_all_rows(spark, monkeypatch):
+    r = random.Random(6)
+    filler = [f"word{k}" for k in range(60)]
+    rows = []
+    for k in range(4120):
+        toxic = int(k < 120)
+        text = [*r.sample(filler, 8), *(["venom"] if r.random() < (0.5 if toxic else 0.05) else [])]
+        rows.append((k, " ".join(r.sample(text, len(text))), toxic))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4).cache()
+
+    def scores(sample):
+        monkeypatch.setattr(toxicity, "SAMPLE", sample)
+        model = toxicity.learn(data, data)
+        return model, {x.doc_id: x.score for x in toxicity.score(data, model).collect()}
+
+    whole, want = scores(5000)
+    cut, got = scores(400)
+    assert len(whole.keys) == len(cut.keys) == 1
+    hold = sum("venom" in text for _, text, _ in rows)
+    assert sum(x >= 0.3 for x in want.values()) == sum(x >= 0.3 for x in got.values()) == 0 < hold
+    assert abs(sum(want.values()) - 120) < 2 and abs(sum(got.values()) - 120) < 30
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    assert abs(toxicity.learn(data.withColumn("text", F.lit("same")), data).constant - 120 / 4120) < 1e-9
+
+
 def test_sentence_pieces_equal_the_library(spark, docs, nothing):
     import sentencepiece
 
