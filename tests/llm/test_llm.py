@@ -213,6 +213,26 @@ def test_encoder_equals_the_library(lower):
     assert [flat[a:b].tolist() for a, b in zip(rows[:-1], rows[1:], strict=True)] == [x.ids for x in code.library.encode_batch([x or "" for x in odd], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("lower", [False, True])
+def test_added_tokens_in_texts(spark, lower, tmp_path):
+    from tokenizers import Tokenizer
+
+    model = tokens.tokenizer_path("word_bpe_49k.json" if lower else "byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(model)
+    want = lambda t: fresh.encode(t or "", add_special_tokens=False).ids
+    marked = ["a <|endoftext|> b", "<|startoftext|>É<|endoftext|><|endoftext|>", "x<|ENDOFTEXT|>\n", "<|endoftext", "|>", "a < b", "Σ <|endoftext|>", "plain", None, ""]
+    flat, rows = tokens.encoder(model, lower).encode(pa.array(marked + TEXTS))
+    assert [flat[a:b].tolist() for a, b in zip(rows[:-1], rows[1:], strict=True)] == [want(t) for t in marked + TEXTS]
+    assert 50256 in want(marked[0]) or 49407 in want(marked[0])
+    docs = spark.createDataFrame(list(enumerate(marked)), "doc_id long, text string")
+    if lower:
+        got = packing.pack(spark, packing.pieces(docs, model)).collect()
+        assert {(r.doc_id, r.doc_tokens, r.ids_crc32) for r in got} == {(k, len(want(t)) + 1, zlib.crc32(np.array([*want(t), 1], "<u4").tobytes())) for k, t in enumerate(marked)}
+    else:
+        orc_tokens.write(docs, f"file://{tmp_path}/ids", model)
+        assert {r.doc_id: r.ids for r in orc_tokens.read(spark, f"file://{tmp_path}/ids").collect()} == {k: [*want(t), 2] for k, t in enumerate(marked)}
+
+
 def test_orc_tokens(spark, docs, nothing, tmp_path):
     code = tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"), False)
     path = f"file://{tmp_path}/ids"
