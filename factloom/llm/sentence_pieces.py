@@ -245,8 +245,8 @@ def decode(spark: SparkSession, rows: DataFrame, model: str, ids_col: str = "ids
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of conversations encoded, and decoded again."""
+    """Every document encoded, and decoded again."""
     model = tokenizer_path("piece_bpe_32k.model")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(spark, encode(spark, turns, model), model)
-    return back.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = decode(spark, encode(spark, docs, model), model)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))

@@ -395,6 +395,18 @@ def test_sentence_pieces_equal_the_library(spark, docs, nothing):
     assert sentence_pieces.encode(spark, nothing, model).isEmpty()
 
 
+def test_sentence_pieces_query_reads_all_documents(spark, small):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path("piece_bpe_32k.model"))
+    got = sentence_pieces.query(spark, small).collect()
+    want = []
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = m.encode(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), m.decode(ids) == (r.text or "")))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_best_path(spark):
     rows = spark.createDataFrame([("abcd", {"a": -1.0, "b": -1.0, "ab": -1.5, "bcd": -1.2, "c": -3.0, "d": -1.0}), ("xa", {"a": -1.0})], "word string, edges map<string,double>")
     got = {r.word: r.p for r in rows.select("word", sentence_pieces.best_path(F.col("word"), F.col("edges"), 3).alias("p")).collect()}
