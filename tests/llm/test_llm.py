@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import components, exact_dedup, gif_media, license_scan, lm_score, near_dup, orc_tokens, packing, secret_scan, sentence_pieces, tokens, toxicity
+from factloom.llm import components, exact_dedup, gif_media, license_scan, lm_score, near_dup, orc_tokens, packing, secret_scan, tokens, toxicity
 from factloom.llm.common import Scratch
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -380,39 +380,6 @@ def test_toxicity_of_a_cut_class_equals_that_of_all_rows(spark, monkeypatch):
     assert abs(toxicity.learn(data.withColumn("text", F.lit("same")), data).constant - 120 / 4120) < 1e-9
 
 
-def test_sentence_pieces_equal_the_library(spark, docs, nothing):
-    import sentencepiece
-
-    model = tokens.tokenizer_path("piece_bpe_32k.model")
-    m = sentencepiece.SentencePieceProcessor(model_file=model)
-    more = spark.createDataFrame([(900, "a\n" + "b" * 70 + " c\n\n d", "x", 0), (901, "\n", "x", 0), (902, " \n x\n ", "x", 0)], docs.schema)
-    few = docs.filter("doc_id < 60").unionByName(more)
-    coded = Scratch(spark).save(sentence_pieces.encode(spark, few, model).withColumn("row", F.monotonically_increasing_id()), "coded")
-    rows = coded.collect()
-    assert len(rows) == few.count() and all(list(r.ids) == m.encode(r.text or "") for r in rows)
-    back = sentence_pieces.decode(spark, coded, model)
-    assert back.filter("decoded <> coalesce(text, '')").isEmpty()
-    assert sentence_pieces.encode(spark, nothing, model).isEmpty()
-
-
-def test_sentence_pieces_query_reads_all_documents(spark, small):
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path("piece_bpe_32k.model"))
-    got = sentence_pieces.query(spark, small).collect()
-    want = []
-    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
-        ids = m.encode(r.text or "")
-        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), m.decode(ids) == (r.text or "")))
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
-def test_best_path(spark):
-    rows = spark.createDataFrame([("abcd", {"a": -1.0, "b": -1.0, "ab": -1.5, "bcd": -1.2, "c": -3.0, "d": -1.0}), ("xa", {"a": -1.0})], "word string, edges map<string,double>")
-    got = {r.word: r.p for r in rows.select("word", sentence_pieces.best_path(F.col("word"), F.col("edges"), 3).alias("p")).collect()}
-    assert got == {"abcd": ["a", "bcd"], "xa": ["x", "a"]}
-
-
 def test_pipeline(spark, small):
     import corpus_pipeline
 
