@@ -7,9 +7,11 @@ as frames of WIDTH x HEIGHT with a grey palette, so that a sample's value is its
 palette index. Rows are independent: nothing is shuffled, and a worker holds one
 stream at a time.
 
-Defined cases: null and empty texts give a payload of 64 zero bytes; equal
-payloads give equal streams; a damaged stream raises ValueError from ``decode``
-and gives null columns in ``describe``; other columns are ignored.
+Defined cases: null and empty texts give a payload of 64 zero bytes; very long
+texts are frames of one stream; equal payloads (ties, repeated rows) give equal
+streams; a damaged or cut stream raises ValueError from ``decode``, gives null
+columns in ``describe`` and one row without a frame in ``frames``; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -154,6 +156,8 @@ def decode(stream: bytes) -> dict:
             n = stream[at]
             if not n:
                 return b"".join(pieces), at + 1
+            if at + n >= len(stream):
+                raise ValueError("cut short in a block")
             pieces.append(stream[at + 1 : at + 1 + n])
             at += n + 1
 
@@ -165,14 +169,22 @@ def decode(stream: bytes) -> dict:
     canvas[:] = paper
     frames: list[tuple] = []
     delay, clear_to, see_through = 0, 0, None
-    while at < len(stream) and stream[at] != 0x3B:
+    while True:
+        if at >= len(stream):
+            raise ValueError("no end")
+        if stream[at] == 0x3B:
+            break
         if stream[at] == 0x21:
+            if at + 2 > len(stream):
+                raise ValueError("cut short in an extension")
             data, after = sub_blocks(at + 2)
             if stream[at + 1] == 0xF9 and len(data) >= 4:
                 clear_to, delay = data[0] >> 2 & 7, int.from_bytes(data[1:3], "little")
                 see_through = data[3] if data[0] & 1 else None
             at = after
         elif stream[at] == 0x2C:
+            if len(stream) < at + 10:
+                raise ValueError("cut short in an image descriptor")
             x, y, w, h, own = two(at + 1), two(at + 3), two(at + 5), two(at + 7), stream[at + 9]
             at += 10
             table_ = palette
@@ -181,6 +193,8 @@ def decode(stream: bytes) -> dict:
                 at += table_.size
             if table_ is None:
                 raise ValueError("no palette")
+            if at >= len(stream) or not 2 <= stream[at] <= 8:
+                raise ValueError("no size of codes")
             low = stream[at]
             data, at = sub_blocks(at + 1)
             found = lzw_decode(data, low, w * h)
@@ -217,12 +231,14 @@ def samples(picture: dict) -> bytes:
     return b"".join(canvas[y : y + h, x : x + w, 0].tobytes() for _, (x, y, w, h), canvas in picture["frames"])
 
 
-def histogram(picture: dict) -> np.ndarray:
-    """Pixels of all frames by channel and by BINS ranges of its values: 3 x BINS."""
-    out = np.zeros((3, BINS), np.int64)
-    for _, (x, y, w, h), canvas in picture["frames"]:
-        for c in range(3):
-            out[c] += np.bincount(canvas[y : y + h, x : x + w, c].ravel() // (256 // BINS), minlength=BINS)
+def timed(picture: dict) -> list[dict]:
+    """Frames with their time, rectangle and colour histogram: pixels by channel and by BINS ranges of its values, 3 x BINS."""
+    out, starts = [], 0
+    for delay, (x, y, w, h), canvas in picture["frames"]:
+        part = canvas[y : y + h, x : x + w]
+        counts = [np.bincount(part[:, :, c].ravel() // (256 // BINS), minlength=BINS) for c in range(3)]
+        out.append({"starts_cs": starts, "delay_cs": delay, "x": x, "y": y, "w": w, "h": h, "histogram": np.concatenate(counts).tolist()})
+        starts += delay
     return out
 
 
@@ -242,51 +258,54 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return arrow_map(rows, run, "doc_id long, n_bytes long, media binary")
 
 
+FRAME = pa.struct([*((name, pa.int64()) for name in ("starts_cs", "delay_cs", "x", "y", "w", "h")), ("histogram", pa.list_(pa.int64()))])
+FRAME_SQL = "struct<starts_cs:bigint,delay_cs:bigint,x:bigint,y:bigint,w:bigint,h:bigint,histogram:array<bigint>>"
+
+
 def describe(media: DataFrame) -> DataFrame:
-    """Columns read back from stored GIFs: frames, their time, samples' digest and tail, colour histogram as text."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """Columns read back from stored GIFs: samples' digest and tail, frames with time, rectangle and histogram, their sum as text."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(FRAME)]
 
     def one(stream: bytes | None) -> tuple:
         if stream is None:
-            return (None,) * 6
+            return (None,) * 7
         known = (len(stream), hashlib.sha256(stream).hexdigest())
         try:
             picture = decode(stream)
         except ValueError:
-            return (None, None, None, *known, None)
-        data = samples(picture)
-        counts = histogram(picture)
-        frames = picture["frames"]
-        feature = f"{len(frames)} frames, {sum(x[0] for x in frames)} cs, grey " + " ".join(map(str, counts[0]))
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), *known, feature
+            return (None, None, None, *known, None, None)
+        data, found = samples(picture), timed(picture)
+        grey = np.sum([x["histogram"][:BINS] for x in found], axis=0).tolist() if found else [0] * BINS
+        feature = f"{len(found)} frames, {sum(x['delay_cs'] for x in found)} cs, grey " + " ".join(map(str, grey))
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), *known, feature, found
 
     def run(batch):
         cols = list(zip(*map(one, batch.column(2).to_pylist()), strict=True))
         yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, cols, kinds)], names)
 
-    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<{FRAME_SQL}>"
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, schema)
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """One row per frame of each stored GIF: doc_id, frame, starts_cs, delay_cs, its rectangle, RGB bytes and histogram."""
-    names = ["doc_id", "frame", "starts_cs", "delay_cs", "x", "y", "w", "h", "rgb", "histogram"]
+    """One row per frame of each stored GIF: doc_id, frame, its time, rectangle, RGB bytes and histogram.
+
+    A null or damaged stream gives one row whose frame is null.
+    """
+    names = ["doc_id", "frame", *(x.name for x in FRAME), "rgb"]
 
     def run(batch):
         for key, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
                 picture = decode(stream or b"")
+                rows = [(key, k, *x.values(), canvas[y : y + h, x_ : x_ + w].tobytes()) for k, (x, (_, (x_, y, w, h), canvas)) in enumerate(zip(timed(picture), picture["frames"], strict=True))]
             except ValueError:
-                continue
-            rows, at = [], 0
-            for k, (delay, (x, y, w, h), canvas) in enumerate(picture["frames"]):
-                part = canvas[y : y + h, x : x + w]
-                rows.append((key, k, at, delay, x, y, w, h, part.tobytes(), histogram({"frames": [picture["frames"][k]]}).ravel().tolist()))
-                at += delay
+                rows = [(key, *[None] * (len(names) - 1))]
             if rows:
-                yield pa.record_batch(list(map(pa.array, zip(*rows, strict=True), [pa.int64()] * 8 + [pa.binary(), pa.list_(pa.int64())])), names)
+                yield pa.record_batch(list(map(pa.array, zip(*rows, strict=True), [pa.int64()] * 8 + [pa.list_(pa.int64()), pa.binary()])), names)
 
-    return arrow_map(media.select("doc_id", "media"), run, "doc_id long, frame long, starts_cs long, delay_cs long, x long, y long, w long, h long, rgb binary, histogram array<long>")
+    return arrow_map(media.select("doc_id", "media"), run, "doc_id long, frame long, starts_cs long, delay_cs long, x long, y long, w long, h long, histogram array<long>, rgb binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
