@@ -30,6 +30,8 @@ from pyspark.taskcontext import TaskContext
 
 from factloom.llm.common import BLANK, LOWER, Scratch, mix, pair_up, partitions, slices, table, text_buffer, word_hashes, words, workers_import
 
+#: Text bytes for each part in which counts meet.
+PART_BYTES = 16 << 20
 NAME = "op4_lm_score"
 #: Text bytes of a batch.
 BATCH_BYTES = 16 << 20
@@ -231,7 +233,8 @@ def scores(spark: SparkSession, docs: DataFrame, learn, id_col: str = "doc_id",
     if rows.isEmpty():
         return spark.createDataFrame([], schema)
     path = f"{scratch.path}/stored"
-    batches_of(rows, partitions(spark)).write.partitionBy("kind").option("compression", "none").parquet(path)
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches_of(rows, max(partitions(spark), text_bytes // PART_BYTES)).write.partitionBy("kind").option("compression", "none").parquet(path)
     stored = spark.read.schema("kind int, batch long, part int, x binary, y binary").parquet(path)
     replies = scratch.save(answers(stored.filter(F.col("kind") < COUNTS)), "replies")
     for kind in (WORD, PAIR):
