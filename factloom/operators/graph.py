@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,9 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_dir:
-            _own_dir.append(f"file://{tempfile.mkdtemp(prefix='factloom-')}")
-        base = _own_dir[0]
+            _own_dir.append(tempfile.mkdtemp(prefix="factloom-"))
+            atexit.register(shutil.rmtree, _own_dir[0], True)
+        base = f"file://{_own_dir[0]}"
     path = f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
