@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ LANGUAGES = {
     ".tsx": "typescript",
     ".js": "javascript",
     ".jsx": "javascript",
-    ".mjs": "javascript",
     ".py": "python",
     ".rs": "rust",
     ".c": "c",
@@ -45,7 +46,8 @@ def under(prefix: str) -> str:
 
 def ends_like(column: Column, text: str) -> Column:
     """The text itself, or a path that ends in it, whatever the case of ASCII letters."""
-    return (column == text) | column.ilike("%/" + escaped(text))
+    lowered = F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
+    return (column == text) | lowered.endswith("/" + text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
 
 
 def page(limit: int | None, offset: int | None) -> tuple[int, int]:
@@ -73,6 +75,30 @@ def module_source(source: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(source, r"^\./", ""), r"\.(tsx?|jsx?|mjs|cjs)$", "")
 
 
+def basename(path: Column) -> Column:
+    return last_segment(path)
+
+
+def stem(path: Column) -> Column:
+    """A file's name without its last ending."""
+    return F.regexp_replace(last_segment(path), r"(.)\.[^.]*$", "$1")
+
+
+def without_pointer(type_expr: Column) -> Column:
+    """A type expression without leading * and &."""
+    return F.regexp_replace(type_expr, r"^[*&\s]+", "")
+
+
+def package_part(dotted: Column) -> Column:
+    """A dotted import without its last segment."""
+    return F.regexp_replace(dotted, r"\.?[^.]*$", "")
+
+
+def exported(name: Column) -> Column:
+    """Whether a name begins with an upper-case letter of ASCII."""
+    return name.rlike("^[A-Z]")
+
+
 def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 

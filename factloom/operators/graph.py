@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.metrics import symbol_rows
@@ -94,6 +94,11 @@ def package_edges(facts) -> DataFrame:
     return hits.groupBy("from_package", "to_package").agg(F.count("*").alias("import_count"))
 
 
+def ranked(edges: DataFrame) -> DataFrame:
+    """Package edges with nth, their place in a total order: most imports first, then by name. One row per package pair."""
+    return edges.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("import_count"), "from_package", "to_package")))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """members, one row per strongly connected part of more than one package, or with a self-loop: names joined by >, the first again at the end.
 

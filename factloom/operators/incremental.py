@@ -66,9 +66,9 @@ def without_files(tables: dict[str, DataFrame], files: DataFrame, columns: dict[
     return {name: rows.join(files.select(F.col("file_id").alias(columns[name])), columns[name], "left_anti") if name in columns else rows for name, rows in tables.items()}
 
 
-def without_links(links: DataFrame, symbols: DataFrame, column: str = "target_symbol_id") -> DataFrame:
-    """Links whose target is still there."""
-    return links.join(symbols.select(F.col("id").alias(column)), column, "left_anti")
+def without_links(links: DataFrame, gone: DataFrame, column: str = "target_symbol_id") -> DataFrame:
+    """Links whose target is not among the symbols (id) that are gone."""
+    return links.join(gone.select(F.col("id").alias(column)), column, "left_anti")
 
 
 def cleared_annotations(annotations: DataFrame, gone: DataFrame) -> DataFrame:
@@ -79,5 +79,5 @@ def cleared_annotations(annotations: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def deterministic_id(*columns: str):
-    """A long id from natural keys, the same in every run."""
-    return F.xxhash64(*columns)
+    """A key from natural keys, the same in every run and engine; null counts as empty."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.metrics import located, symbol_rows
 from factloom.functions.patterns import contains
+from factloom.operators.graph import cut
 
 #: Lines of a bucket in which spans and places meet by equality.
 LINES = 64
@@ -85,15 +88,16 @@ def scope_chain(facts, start: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(facts, steps: int = 16) -> DataFrame:
-    """start_id, depth and the scopes around every scope, by repeated self-joins until no parent is left."""
-    up = facts.scopes.select(F.col("id").alias("at"), "parent_scope_id")
-    level = facts.scopes.select(F.col("id").alias("start_id"), F.lit(0).alias("depth"), F.col("id").alias("at"))
-    out = level
-    for _ in range(steps):
-        level = level.join(up, "at").filter("parent_scope_id is not null").select("start_id", (F.col("depth") + 1).alias("depth"), F.col("parent_scope_id").alias("at"))
+def ancestors(facts) -> DataFrame:
+    """start_id, depth and the scopes around every scope, level by level until no parent is left; each level is written, so none is computed twice."""
+    up = facts.scopes.filter("parent_scope_id is not null").select(F.col("id").alias("at"), "parent_scope_id")
+    out = level = facts.scopes.select(F.col("id").alias("start_id"), F.lit(0).alias("depth"), F.col("id").alias("at"))
+    for depth in count(1):
+        level = cut(level.join(up, "at").select("start_id", F.lit(depth).alias("depth"), F.col("parent_scope_id").alias("at")))
         if level.isEmpty():
             break
+        if not level.filter("start_id = at").isEmpty():
+            raise ValueError("scopes lie around themselves")
         out = out.unionByName(level)
     return out.join(facts.scopes.withColumnRenamed("id", "at"), "at").withColumnRenamed("at", "id")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.patterns import last_segment
 from factloom.operators.discovery import PACKAGE_KINDS
-from factloom.operators.graph import package_of_file
+from factloom.operators.graph import cut, package_of_file
 from factloom.operators.position import ancestors, innermost_scope
 
 CALLERS = ("function", "method")
@@ -71,11 +71,19 @@ def open_targets(facts) -> DataFrame:
     return rows.join(local_symbols(facts), "target_symbol_id", "left_anti")
 
 
+def first_two(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows of a key the first by target_file and target_symbol_id, and the first of any other file: enough for references
+    that look beyond their own file, however popular the key."""
+    each = rows.groupBy(*keys, "target_file").agg(F.min("target_symbol_id").alias("target_symbol_id"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("target_file"))
+    return each.withColumn("nth", nth).filter("nth <= 2").drop("nth")
+
+
 def by_package(facts) -> DataFrame:
     """Same name in another file of the same package."""
     own = package_of_file(facts)
     left = refs(facts).join(own, "file_id")
-    right = open_targets(facts).join(own.withColumnRenamed("file_id", "target_file"), "target_file")
+    right = first_two(open_targets(facts).join(own.withColumnRenamed("file_id", "target_file"), "target_file"), "package", "name")
     rows = left.join(right, ["package", "name"]).filter("file_id <> target_file")
     return candidate(rows, 3, F.col("target_file"), F.col("target_symbol_id"), 1.0, "direct")
 
@@ -91,7 +99,7 @@ def by_import(facts) -> DataFrame:
     """Public symbols of that name in a package that the file imports."""
     files = package_of_file(facts).withColumnRenamed("file_id", "target_file")
     left = refs(facts).join(imported_packages(facts).select("file_id", "package").distinct(), "file_id")
-    right = open_targets(facts).filter("visibility = 'public'").join(files, "target_file")
+    right = first_two(open_targets(facts).filter("visibility = 'public'").join(files, "target_file"), "package", "name")
     rows = left.join(right, ["package", "name"]).filter("file_id <> target_file")
     return candidate(rows, 4, F.col("target_file"), F.col("target_symbol_id"), 1.0, "import")
 
@@ -108,7 +116,7 @@ def by_qualifier(facts) -> DataFrame:
     heads = refs(facts).withColumnRenamed("name", "alias").join(imported, ["file_id", "alias"])
     first = heads.groupBy("file_id", "line").agg(F.min_by("package", F.struct("reference_id", "package")).alias("package"), F.min("reference_id").alias("head"))
     files = package_of_file(facts).withColumnRenamed("file_id", "target_file")
-    right = open_targets(facts).filter("visibility = 'public'").join(files, "target_file")
+    right = first_two(open_targets(facts).filter("visibility = 'public'").join(files, "target_file"), "package", "name")
     rows = refs(facts).join(first, ["file_id", "line"]).filter("reference_id <> head").join(right, ["package", "name"])
     return candidate(rows, 5, F.col("target_file"), F.col("target_symbol_id"), 1.0, "import")
 
@@ -167,7 +175,7 @@ def extension_bindings(facts) -> DataFrame:
     return rows.select(F.col("id").alias("member_symbol_id"), "extended_type_expr", F.col("parent_symbol_id").alias("extended_type_symbol_id"))
 
 
-def inherited(bases: DataFrame, own: DataFrame, steps: int = 32) -> DataFrame:
+def inherited(bases: DataFrame, own: DataFrame) -> DataFrame:
     """class_id, name, method_id: own methods first, then those of bases in their order, depth first; cycles end.
 
     bases: class_id, base_id, ordinal. own: class_id, name, method_id. order is
@@ -175,9 +183,10 @@ def inherited(bases: DataFrame, own: DataFrame, steps: int = 32) -> DataFrame:
     """
     level = own.select("class_id").unionByName(bases.select("class_id")).distinct().select("class_id", F.col("class_id").alias("at"), F.array().cast("array<long>").alias("order"), F.array("class_id").alias("path"))
     reach = level
-    for _ in range(steps):
+    while True:
         level = level.join(bases.select(F.col("class_id").alias("at"), "base_id", "ordinal"), "at").filter(~F.array_contains("path", F.col("base_id")))
         level = level.select("class_id", F.col("base_id").alias("at"), F.concat("order", F.array(F.col("ordinal").cast("long"))).alias("order"), F.concat("path", F.array("base_id")).alias("path"))
+        level = cut(level)
         if level.isEmpty():
             break
         reach = reach.unionByName(level)

@@ -19,6 +19,7 @@ from factloom.operators import incremental as I
 from factloom.operators import links as L
 from factloom.operators import position as S
 from factloom.operators import resolve as R
+from factloom.plans import language_rules
 from factloom.plans.views import Facts, with_views
 
 PACK = "('package','module','namespace')"
@@ -63,6 +64,42 @@ def prefix_of(facts: Facts, file_id: int) -> str:
     return path_of(facts, file_id).rpartition("/")[0]
 
 
+def least(rows: DataFrame, column: str):
+    """The smallest value of a column, so that a lookup by it finds rows at any scale."""
+    return rows.agg(F.min(column)).first()[0]
+
+
+def lookup(table: str, column: str, drop: tuple[str, ...] = ()):
+    """Rows of a table with the smallest value of a column, and the same in SQL."""
+
+    def query(facts: Facts) -> DataFrame:
+        rows = getattr(facts, table)
+        return L.of(rows, column, least(rows, column)).drop(*drop)
+
+    shown = "*" if not drop else f"* exclude ({', '.join(drop)})"
+    return query, f"select {shown} from cx_{table} where {column} = (select min({column}) from cx_{table})"
+
+
+def first_place(facts: Facts):
+    """Path, line and column of the resolved reference with the smallest id."""
+    row = facts.references.join(facts.resolved_references.select(F.col("reference_id").alias("id")), "id", "left_semi").agg(F.min_by(F.struct("file_id", "start_line", "start_col"), "id").alias("r")).first().r
+    return path_of(facts, row.file_id), row.start_line, row.start_col
+
+
+FIRST = "first as (select file_id, start_line as l, start_col as c from cx_references where id = (select min(reference_id) from cx_resolved_references))"
+AT_FIRST = "({0}.start_line < first.l or ({0}.start_line = first.l and {0}.start_col <= first.c)) and ({0}.end_line > first.l or ({0}.end_line = first.l and {0}.end_col >= first.c))"
+#: The start of the smallest-spanned annotated symbol.
+BUSY = "busy as (select s.file_id, s.start_line as l, s.start_col as c from cx_symbols s where s.file_id is not null and s.id in (select target_symbol_id from cx_annotations) order by s.end_line - s.start_line, s.end_col - s.start_col, s.id limit 1)"
+AT_BUSY = AT_FIRST.format("s").replace("first.", "busy.")
+
+
+def busy_place(facts: Facts):
+    marked = facts.annotations.select(F.col("target_symbol_id").alias("id"))
+    row = facts.symbols.filter("file_id is not null").join(marked, "id", "left_semi").orderBy(F.col("end_line") - F.col("start_line"), F.col("end_col") - F.col("start_col"), "id").first()
+    return path_of(facts, row.file_id), row.start_line, row.start_col
+
+
+EXTRA = ("x_part", "x_flag", "x_line")
 PATH = "(select path from cx_files where id = 3)"
 PREFIX = "(select regexp_extract(path, '^(.*/)', 1) from cx_files where id = 3)"
 SPAN = "(start_line < {0} or (start_line = {0} and start_col <= {1})) and (end_line > {0} or (end_line = {0} and end_col >= {1}))"
@@ -126,6 +163,14 @@ def walk_sql(towards: str, part: int) -> str:
     return head + "select max(depth) as max_depth from nodes"
 
 
+def without_odd_files(facts: Facts) -> DataFrame:
+    """Rows left in some tables when the files with odd ids go."""
+    columns = {"symbols": "file_id", "imports": "file_id", "scopes": "file_id"}
+    left = I.without_files({name: getattr(facts, name) for name in columns}, facts.files.filter("id % 2 = 1").select(F.col("id").alias("file_id")), columns)
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 def package_part(f: Callable) -> Callable:
     return lambda facts: f(facts, D.package_symbol(facts, symbol_id=1000003))
 
@@ -148,22 +193,25 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
         "select reference_id, symbol_id from (select r.id as reference_id, s.id as symbol_id, row_number() over (partition by r.id order by s.end_line - s.start_line, s.end_col - s.start_col, s.id) as nth from cx_references r join cx_symbols s on s.file_id = r.file_id and (s.start_line < r.start_line or (s.start_line = r.start_line and s.start_col <= r.start_col)) and (s.end_line > r.start_line or (s.end_line = r.start_line and s.end_col >= r.start_col))) where nth = 1",
     ),
     "definition_at": (
-        lambda x: S.definition_at(x, path_of(x, 3), 100, 20),
-        f"select r.id as reference_id, s.id as target_symbol_id, f.path as file_path, s.start_line, s.start_col, s.end_line, s.end_col from (select * from cx_references where {SPAN.format(100, 20)}) r join cx_files g on g.id = r.file_id and g.id = 3 join cx_resolved_references rr on rr.reference_id = r.id join cx_symbols s on s.id = rr.target_symbol_id join cx_files f on f.id = s.file_id",
+        lambda x: S.definition_at(x, *first_place(x)),
+        f"with {FIRST} select r.id as reference_id, s.id as target_symbol_id, f.path as file_path, s.start_line, s.start_col, s.end_line, s.end_col from first join cx_references r on r.file_id = first.file_id and {AT_FIRST.format('r')} join cx_resolved_references rr on rr.reference_id = r.id join cx_symbols s on s.id = rr.target_symbol_id join cx_files f on f.id = s.file_id",
     ),
     "references_to": (lambda x: L.references_to(x, 10), "select r.id as reference_id, f.path as file_path, r.start_line, r.start_col, r.end_line, r.end_col from cx_resolved_references rr join cx_references r on r.id = rr.reference_id join cx_files f on f.id = r.file_id where rr.target_symbol_id = 10"),
     "implementations": (
-        lambda x: L.implementations(x, 27),
-        "select s.id as symbol_id, s.name, i.kind, f.path as file_path, s.start_line, s.start_col, s.end_line, s.end_col from cx_implementations i join cx_symbols s on s.id = i.type_symbol_id join cx_files f on f.id = s.file_id where i.interface_symbol_id = 27",
+        lambda x: L.implementations(x, least(x.implementations, "interface_symbol_id")),
+        "select s.id as symbol_id, s.name, i.kind, f.path as file_path, s.start_line, s.start_col, s.end_line, s.end_col from cx_implementations i join cx_symbols s on s.id = i.type_symbol_id join cx_files f on f.id = s.file_id where i.interface_symbol_id = (select min(interface_symbol_id) from cx_implementations)",
     ),
     "implements_interfaces": (
-        lambda x: L.implements_interfaces(x, 8),
-        "select s.id as symbol_id, s.name, i.kind, f.path as file_path, s.start_line, s.start_col, s.end_line, s.end_col from cx_implementations i join cx_symbols s on s.id = i.interface_symbol_id join cx_files f on f.id = s.file_id where i.type_symbol_id = 8",
+        lambda x: L.implements_interfaces(x, least(x.implementations, "type_symbol_id")),
+        "select s.id as symbol_id, s.name, i.kind, f.path as file_path, s.start_line, s.start_col, s.end_line, s.end_col from cx_implementations i join cx_symbols s on s.id = i.interface_symbol_id join cx_files f on f.id = s.file_id where i.type_symbol_id = (select min(type_symbol_id) from cx_implementations)",
     ),
     "callers": (lambda x: L.callers(x, 5), "select * from cx_call_graph where callee_symbol_id = 5"),
     "callees": (lambda x: L.callees(x, 5), "select * from cx_call_graph where caller_symbol_id = 5"),
     "dependencies": (lambda x: L.dependencies(x, 3), "select * from cx_imports where file_id = 3"),
-    "dependents": (lambda x: L.dependents(x, "china"), "select * from cx_imports where source = 'china' or source ilike '%/china'"),
+    "dependents": (
+        lambda x: L.dependents(x, x.imports.filter("source not like '%/%'").agg(F.max("source")).first()[0].upper()),
+        "with t as (select max(source) as s from cx_imports where source not like '%/%') select i.* from cx_imports i, t where i.source = upper(t.s) or ends_with(translate(i.source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/' || t.s)",
+    ),
     "symbol_detail": (
         lambda x: S.detail_rows(S.symbol_detail(x, x.symbols)),
         """select symbol_id as id, 'parameters' as part, cast(row_number() over (partition by symbol_id order by ordinal, id) - 1 as int) as ordinal, name from cx_function_parameters
@@ -172,8 +220,8 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
  union all select target_symbol_id, 'annotations', cast(row_number() over (partition by target_symbol_id order by id) - 1 as int), name from cx_annotations""",
     ),
     "symbol_detail_at": (
-        lambda x: S.detail_rows(S.symbol_detail(x, S.symbol_at(x, path_of(x, 3), 725, 10))),
-        f"""with one as (select s.id from cx_symbols s join cx_files f on f.id = s.file_id where f.id = 3 and {SPAN.format(725, 10)} order by end_line - start_line, end_col - start_col, s.id limit 1)
+        lambda x: S.detail_rows(S.symbol_detail(x, S.symbol_at(x, *busy_place(x)))),
+        f"""with {BUSY}, one as (select s.id from cx_symbols s, busy where s.file_id = busy.file_id and {AT_BUSY} order by s.end_line - s.start_line, s.end_col - s.start_col, s.id limit 1)
  select symbol_id as id, 'parameters' as part, cast(row_number() over (partition by symbol_id order by ordinal, id) - 1 as int) as ordinal, name from cx_function_parameters where symbol_id in (select id from one)
  union all select symbol_id, 'members', cast(row_number() over (partition by symbol_id order by id) - 1 as int), name from cx_type_members where symbol_id in (select id from one)
  union all select symbol_id, 'type_parameters', cast(row_number() over (partition by symbol_id order by ordinal, id) - 1 as int), name from cx_type_parameters where symbol_id in (select id from one)
@@ -190,7 +238,10 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
     "symbol_children": (lambda x: D.symbols(x, D.SymbolFilter(parent_id=20)), f"with {ROWS} select * from sr where parent_symbol_id = 20"),
     "symbols_refcount_range": (lambda x: D.symbols(x, D.SymbolFilter(ref_count_min=5, ref_count_max=10)), f"with {ROWS} select * from sr where ref_count between 5 and 10"),
     "symbols_modifiers": (lambda x: D.symbols(x, D.SymbolFilter(modifiers=("static", "async"))), f"""with {ROWS} select * from sr where modifiers like '%"static"%' and modifiers like '%"async"%'"""),
-    "symbols_path_prefix": (lambda x: D.symbols(x, D.SymbolFilter(path_prefix="SRC/united_states")), f"with {ROWS} select * from sr where file_path ilike 'src/united!_states/%' escape '!'"),
+    "symbols_path_prefix": (
+        lambda x: D.symbols(x, D.SymbolFilter(path_prefix=least(x.files, "path").rpartition("/")[0].upper())),
+        f"with {ROWS}, d as (select regexp_extract(min(path), '^(.*/)', 1) as p from cx_files) select sr.* from sr, d where starts_with(lower(file_path), lower(d.p))",
+    ),
     "symbols_total": (lambda x: D.symbols(x).agg(F.count("*").alias("total")), "select count(*) as total from cx_symbols"),
     "symbols_sorted_refcount": (lambda x: D.symbol_page(x, sort="ref_count", order="desc", limit=100), f"with {ROWS} select * from sr {order_page('ref_count', 'desc', 100, 0)}"),
     "symbols_page2": (lambda x: D.symbol_page(x, sort="file", limit=50, offset=50), f"with {ROWS} select * from sr {order_page('file_path', 'asc', 50, 50)}"),
@@ -198,7 +249,10 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
     "files_by_language": (lambda x: D.files(x, language="python"), "select * from cx_files where language = 'python'"),
     "packages": (D.packages, f"with {ROWS} select * from sr where kind in {PACK}"),
     "search_prefix": (lambda x: D.search(x, "LARGE*"), f"with {ROWS} select * from sr where name ilike 'large%'"),
-    "search_suffix": (lambda x: D.search(x, "*ed"), f"with {ROWS} select * from sr where name ilike '%ed'"),
+    "search_suffix": (
+        lambda x: D.search(x, "*" + least(x.symbols, "name")[-3:]),
+        f"with {ROWS}, t as (select lower(right(min(name), 3)) as e from cx_symbols) select sr.* from sr, t where ends_with(lower(name), t.e)",
+    ),
     "search_infix": (lambda x: D.search(x, "*_a*"), f"with {ROWS} select * from sr where name ilike '%!_a%' escape '!'"),
     "summary_languages": (
         D.language_stats,
@@ -227,7 +281,7 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
  union all select 'composed_by', composition_kind, composite_symbol_id from cx_type_compositions where component_symbol_id = 10 union all select 'extension', kind, member_symbol_id from cx_extension_bindings where extended_type_symbol_id = 10) t join cx_symbols s on s.id = t.id""",
     ),
     "extension_methods": (lambda x: L.of(x.extension_bindings, "extended_type_symbol_id", 10), "select * from cx_extension_bindings where extended_type_symbol_id = 10"),
-    "reexports": (lambda x: L.of(x.reexports, "file_id", 3), "select * from cx_reexports where file_id = 3"),
+    "reexports": lookup("reexports", "file_id"),
     "package_graph_nodes": (G.package_nodes, f"with {PKG} select pf.package, count(*) as file_count, cast(sum(f.line_count) as bigint) as line_count from pf join cx_files f on f.id = pf.file_id group by pf.package"),
     "package_graph_edges": (G.package_edges, f"with {EDGES} select * from pe"),
     "circular_deps": (
@@ -277,23 +331,64 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
         f"""select 3::bigint as file_id union select r.file_id from cx_resolved_references rr join cx_references r on r.id = rr.reference_id join cx_symbols s on s.id = rr.target_symbol_id where s.file_id = 3 and s.id % 2 = 1
  union select i.file_id from cx_imports i join cx_symbols s on s.file_id = 3 and s.kind in {PACK} and (i.source = s.name or string_split(i.source, '/')[-1] = s.name)""",
     ),
-    "symbols_by_name": (lambda x: L.of(x.symbols, "name", "burnished"), "select * from cx_symbols where name = 'burnished'"),
-    "references_by_name": (lambda x: L.of(x.references, "name", "burnished").drop("x_part", "x_flag", "x_line"), "select id, file_id, name, start_line, start_col, end_line, end_col, context from cx_references where name = 'burnished'"),
-    "references_by_file": (lambda x: L.of(x.references, "file_id", 3).drop("x_part", "x_flag", "x_line"), "select id, file_id, name, start_line, start_col, end_line, end_col, context from cx_references where file_id = 3"),
+    "symbols_by_name": lookup("symbols", "name"),
+    "references_by_name": lookup("references", "name", EXTRA),
+    "references_by_file": lookup("references", "file_id", EXTRA),
     "references_in_scope": (lambda x: S.innermost_scope(x).filter("scope_id = 1000003"), f"with {ISC} select * from isc where scope_id = 1000003"),
-    "scopes_by_file": (lambda x: L.of(x.scopes, "file_id", 3), "select * from cx_scopes where file_id = 3"),
+    "scopes_by_file": lookup("scopes", "file_id"),
     "scope_chains": (lambda x: S.ancestors(x).select("start_id", "depth", "id"), f"with recursive {CHAIN} select start_id, depth, id from chain"),
-    "type_members": (lambda x: L.of(x.type_members, "symbol_id", 10), "select * from cx_type_members where symbol_id = 10"),
-    "function_params": (lambda x: L.of(x.function_parameters, "symbol_id", 12), "select * from cx_function_parameters where symbol_id = 12"),
-    "type_params": (lambda x: L.of(x.type_parameters, "symbol_id", 27), "select * from cx_type_parameters where symbol_id = 27"),
-    "annotations_by_target": (lambda x: L.of(x.annotations, "target_symbol_id", 5), "select * from cx_annotations where target_symbol_id = 5"),
-    "symbol_fragments": (lambda x: L.of(x.symbol_fragments, "symbol_id", 49), "select * from cx_symbol_fragments where symbol_id = 49"),
-    "type_compositions": (lambda x: L.of(x.type_compositions, "composite_symbol_id", 10), "select * from cx_type_compositions where composite_symbol_id = 10"),
-    "resolved_by_reference": (lambda x: L.of(x.resolved_references, "target_symbol_id", 7), "select * from cx_resolved_references where target_symbol_id = 7"),
-    "deterministic_ids": (lambda x: x.symbols.select(I.deterministic_id("file_id", "kind", "name", "start_line", "start_col").alias("symbol_key"), "id"), None),
+    "type_members": lookup("type_members", "symbol_id"),
+    "function_params": lookup("function_parameters", "symbol_id"),
+    "type_params": lookup("type_parameters", "symbol_id"),
+    "annotations_by_target": lookup("annotations", "target_symbol_id"),
+    "symbol_fragments": lookup("symbol_fragments", "symbol_id"),
+    "type_compositions": lookup("type_compositions", "composite_symbol_id"),
+    "resolved_by_reference": lookup("resolved_references", "reference_id"),
+    "resolved_by_target": lookup("resolved_references", "target_symbol_id"),
+    "symbol_by_id": lookup("symbols", "id"),
+    "file_by_path": lookup("files", "path"),
+    "annotations_resolved": lookup("annotations", "resolved_symbol_id"),
+    "type_composed_by": lookup("type_compositions", "component_symbol_id"),
+    "all_imports": (lambda x: x.imports, "select * from cx_imports"),
+    "all_scopes": (lambda x: x.scopes, "select * from cx_scopes"),
+    "kind_map": (
+        lambda x: x.symbols.groupBy("file_id", "kind").agg(F.count("*").alias("n")).groupBy("file_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n"))))).alias("kinds")),
+        """select file_id, '{' || string_agg('"' || kind || '":' || n, ',' order by kind) || '}' as kinds from (select file_id, kind, count(*) as n from cx_symbols group by all) group by file_id""",
+    ),
+    "package_graph_ranked": (
+        lambda x: G.ranked(G.package_edges(x)),
+        f"with {EDGES} select *, cast(row_number() over (order by import_count desc, from_package, to_package) as int) as nth from pe",
+    ),
+    "confidences": (
+        lambda x: x.resolved_references.filter(F.col("confidence").between(0, 1)).groupBy("confidence").agg(F.count("*").alias("n")),
+        "select confidence, count(*) as n from cx_resolved_references where confidence between 0 and 1 group by confidence",
+    ),
+    "facts_without_files": (
+        without_odd_files,
+        "select 'symbols' as name, count(*) as n from cx_symbols where file_id is null or file_id % 2 = 0 union all select 'imports', count(*) from cx_imports where file_id % 2 = 0 union all select 'scopes', count(*) from cx_scopes where file_id % 2 = 0",
+    ),
+    "links_without_targets": (
+        lambda x: I.without_links(x.resolved_references, x.symbols.filter("file_id % 2 = 1")),
+        "select * from cx_resolved_references where target_symbol_id in (select id from cx_symbols where file_id is null or file_id % 2 = 0)",
+    ),
+    "annotations_cleared": (
+        lambda x: I.cleared_annotations(x.annotations, x.symbols.filter("file_id % 2 = 1")),
+        "select a.* replace (case when s.id is null then a.resolved_symbol_id end as resolved_symbol_id) from cx_annotations a left join cx_symbols s on s.id = a.resolved_symbol_id and s.file_id % 2 = 1",
+    ),
+    "exported_names": (
+        lambda x: x.symbols.select("id", P.exported(F.col("name")).alias("exported")),
+        "select id, regexp_matches(name, '^[A-Z]') as exported from cx_symbols",
+    ),
+    "deterministic_ids": (
+        lambda x: x.symbols.select(I.deterministic_id("file_id", "kind", "name", "start_line", "start_col").alias("symbol_key"), "id"),
+        "select md5(concat_ws('|', coalesce(cast(file_id as varchar), ''), kind, name, cast(start_line as varchar), cast(start_col as varchar))) as symbol_key, id from cx_symbols",
+    ),
 }
 
 
+CATALOG |= language_rules.CATALOG
+
+
 def bound(query: Callable[[Facts], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(Facts(spark, sf_dir))
 

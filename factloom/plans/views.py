@@ -41,9 +41,12 @@ select id, id as reference_id, x_part as target_symbol_id, case x_line % 4 when
 select id, caller_symbol_id, callee_symbol_id, file_id, line, col from (select (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + cast(l_quantity as bigint) as id, l_partkey as caller_symbol_id, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as callee_symbol_id, l_suppkey as file_id, cast(l_orderkey % 900 as int) as line, cast(l_linenumber * 8 as int) as col, l_linenumber as ln from lineitem) t where callee_symbol_id is not null and ln = 1
 """,
     "cx_imports": """
-select c_custkey as id, f.s_suppkey as file_id, case c_custkey % 4 when 0 then lower(replace(t.n_name,' ','_')) when 1 then concat('github.com/acme/', lower(replace(t.n_name,' ','_'))) when 2 then concat('external/lib', cast(c_custkey % 13 as string)) else concat('acme/', lower(replace(t.n_name,' ','_')), '/sub') end as source,
- cast(null as string) as imported_name, cast(null as string) as local_alias, case c_custkey % 5 when 0 then 'named' when 1 then 'default' when 2 then 'namespace' when 3 then 'wildcard' else 'module' end as kind, 'file' as scope
- from customer join supplier f on f.s_suppkey = c_custkey % (select count(*) from supplier) join nation t on t.n_nationkey = c_nationkey where c_nationkey > f.s_nationkey or c_custkey % 37 = 0
+select c_custkey as id, f.s_suppkey as file_id, case cast(floor(c_custkey / 10) as bigint) % 4 when 0 then lower(replace(t.n_name,' ','_')) when 1 then concat('github.com/acme/', lower(replace(t.n_name,' ','_'))) when 2 then case when cast(floor(c_custkey / 10) as bigint) % 8 = 6 then concat('./', lower(replace(g.s_name,'#','_'))) else concat('external/lib', cast(c_custkey % 13 as string)) end else concat('acme/', lower(replace(t.n_name,' ','_')), '/sub') end as source,
+ case when cast(floor(c_custkey / 10) as bigint) % 5 = 0 then case when q.p_type = 'STANDARD' then split_part(q.p_name,' ',2) else replace(q.p_name,' ','_') end else cast(null as string) end as imported_name,
+ case when cast(floor(c_custkey / 10) as bigint) % 5 = 1 then case when q.p_type = 'STANDARD' then split_part(q.p_name,' ',2) else replace(q.p_name,' ','_') end else cast(null as string) end as local_alias, case cast(floor(c_custkey / 10) as bigint) % 5 when 0 then 'named' when 1 then 'default' when 2 then 'namespace' when 3 then 'wildcard' else 'module' end as kind, 'file' as scope
+ from customer join supplier f on f.s_suppkey = c_custkey % (select count(*) from supplier) join nation t on t.n_nationkey = c_nationkey
+ join supplier g on g.s_suppkey = (c_custkey * 10 + f.s_suppkey % 10) % (select count(*) from supplier) join part q on q.p_partkey = (c_custkey * 10) % (select count(*) from part) + f.s_suppkey % 10
+ where c_nationkey > f.s_nationkey or c_custkey % 37 = 0 or cast(floor(c_custkey / 10) as bigint) % 8 = 6
 """,
     "cx_implementations": """
 select a.p_partkey * 100000 + b.p_partkey as id, a.p_partkey as type_symbol_id, b.p_partkey as interface_symbol_id, case (a.p_partkey + b.p_partkey) % 3 when 0 then 'implicit' when 1 then 'explicit' else 'structural' end as kind, a.p_partkey % (select count(*) from supplier) as file_id from part a join part b on a.p_brand = b.p_brand and a.p_size % 5 = b.p_size % 5 where a.p_type = 'LARGE' and b.p_type = 'MEDIUM'
@@ -71,7 +74,7 @@ select m.id as id, m.id as member_symbol_id, p.name as extended_type_expr, p.id
  from cx_symbols m join cx_symbols p on p.id = m.parent_symbol_id where m.kind = 'method'
 """,
     "cx_type_compositions": """
-select id, symbol_id as composite_symbol_id, (id * 7) % (select count(*) from part) as component_symbol_id, case when id % 2 = 0 then 'embedding' else 'inheritance' end as composition_kind from cx_type_members where kind = 'embedded'
+select id, symbol_id as composite_symbol_id, (id * 7) % (select count(*) from part) - case when id % 2 = 0 then 0 else (id * 7) % (select count(*) from part) % 10 end as component_symbol_id, case when id % 2 = 0 then 'embedding' else 'inheritance' end as composition_kind from cx_type_members where kind = 'embedded'
 """,
     "cx_reexports": """
 select id, file_id, id % (select count(*) from part) as original_symbol_id, concat('x_', source) as exported_name from cx_imports where kind = 'namespace'

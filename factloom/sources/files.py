@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import os
 import subprocess
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from factloom.sources.lexical import LANGUAGES, LexicalFacts
 
 #: Folders that a walk without git leaves out, beside those that begin with a dot.
 LEFT_OUT = ("node_modules", "vendor", "__pycache__")
+#: Files that one task reads.
+FILES_A_TASK = 1000
 
 
 def listed(root: str) -> list[str]:
@@ -34,20 +37,30 @@ def listed(root: str) -> list[str]:
 def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = ()) -> DataFrame:
     """path (below root), language, content, hash and line_count of the known source files of a tree.
 
-    The driver lists names only; executors read the contents.
+    The driver lists names only; executors open the listed files, so the tree lies where all of them can read it. No other
+    file is opened, and names that begin with a dot or underscore are files like others. A file that is gone by then is left out.
     """
-    names = [x for x in listed(root) if os.path.splitext(x)[1].lower() in P.LANGUAGES]
     base = os.path.abspath(root)
+    known = {x: P.LANGUAGES.get(os.path.splitext(x)[1].lower()) for x in listed(root)}
+    names = [(x, y) for x, y in known.items() if y and (not languages or y in languages)]
+    schema = "path string, language string, content binary, hash string, line_count int"
     if not names:
-        return spark.createDataFrame([], "path string, language string, content binary, hash string, line_count int")
-    wanted = spark.createDataFrame([(x,) for x in names], "path string")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    rows = rows.withColumn("path", F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(base) + 2})")).join(F.broadcast(wanted), "path", "left_semi")
-    rows = rows.withColumn("language", P.language(F.col("path")))
-    if languages:
-        rows = rows.filter(F.col("language").isin(*languages))
-    text = F.decode("content", "utf-8")
-    return rows.select("path", "language", "content", F.sha2("content", 256).alias("hash"), P.line_count(text).cast("int").alias("line_count"))
+        return spark.createDataFrame([], schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, language in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    with open(os.path.join(base, path), "rb") as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                row = (path, language, content, hashlib.sha256(content).hexdigest(), content.count(b"\n") + 1)
+                kinds = (pa.string(), pa.string(), pa.binary(), pa.string(), pa.int32())
+                yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["path", "language", "content", "hash", "line_count"])
+
+    tasks = min(len(names), max(spark.sparkContext.defaultParallelism, len(names) // FILES_A_TASK))
+    return spark.createDataFrame(names, "path string, language string").repartition(tasks, "path").mapInArrow(read, schema)
 
 
 FACT = "path string, fact string, id long, name string, kind string, owner long, detail string, start_line int, start_col int, end_line int, end_col int"
