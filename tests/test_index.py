@@ -32,3 +32,61 @@ def test_a_tree_without_sources(spark, tmp_path):
     (tmp_path / "tree" / "readme.txt").write_text("no\n")
     facts = index(spark, str(tmp_path / "tree"), str(tmp_path / "out"))
     assert facts.files.isEmpty() and facts.symbols.isEmpty() and facts.call_graph.isEmpty()
+
+
+def test_names_with_underscores_and_dots_are_read(spark, tmp_path):
+    tree = tmp_path / "tree"
+    (tree / "pkg" / "_inner").mkdir(parents=True)
+    for name in ("pkg/__init__.py", "pkg/_util.py", "pkg/a.py", "pkg/_inner/b.py", "pkg/c d.py"):
+        (tree / name).write_text(f"def f{len(name)}():\n    return 1\n")
+    facts = index(spark, str(tree), str(tmp_path / "out"))
+    assert {r.path for r in facts.files.collect()} == {"pkg/__init__.py", "pkg/_util.py", "pkg/a.py", "pkg/_inner/b.py", "pkg/c d.py"}
+    assert facts.symbols.filter("kind = 'function'").count() == 5
+
+
+def test_only_what_a_change_reaches_is_resolved_again(spark, tmp_path):
+    tree, out = tmp_path / "tree", str(tmp_path / "out")
+    tree.mkdir()
+    (tree / "a.py").write_text("from b import h\n\n\ndef g():\n    return h()\n")
+    (tree / "b.py").write_text("def h():\n    return 1\n")
+    (tree / "c.py").write_text("def k():\n    return k()\n")
+    told = lambda facts: {r.key: r.value for r in facts.table("metadata").collect()}
+    calls = lambda facts: sorted((r.caller_symbol_id, r.callee_symbol_id) for r in facts.call_graph.collect())
+    first = index(spark, str(tree), out)
+    before = calls(first)
+    assert told(first)["resolved_files"] == "3" and len(before) == 2
+    same = index(spark, str(tree), out)
+    assert told(same)["resolved_files"] == "0" and calls(same) == before
+    (tree / "b.py").write_text("# more\n\n\ndef h():\n    return 2\n")
+    after = index(spark, str(tree), out)
+    whole = index(spark, str(tree), str(tmp_path / "anew"))
+    assert told(after)["resolved_files"] == "2"
+    for name in ("files", "symbols", "references", "resolved_references", "call_graph", "implementations"):
+        rows = lambda x: sorted(str(sorted(r.asDict().items(), key=lambda kv: kv[0])) for r in getattr(x, name).collect())  # noqa: B023, E731
+        assert rows(after) == rows(whole), name
+    (tree / "b.py").unlink()
+    gone = index(spark, str(tree), out)
+    assert {r.path for r in gone.files.collect()} == {"a.py", "c.py"} and len(calls(gone)) == 1
+    assert told(index(spark, str(tree), out, force=True))["resolved_files"] == "2"
+
+
+def test_commands_take_arguments(spark, tmp_path, capsys):
+    import json
+
+    from factloom.__main__ import main
+
+    tree, out = tmp_path / "tree", str(tmp_path / "out")
+    tree.mkdir()
+    (tree / "b.py").write_text("def g():\n    return h()\n\n\ndef h():\n    return 1\n")
+    assert main(["index", str(tree), "--out", out], spark) == 0
+
+    def ask(*words):
+        code = main([words[0], out, "--indexed", *words[1:]], spark)
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    code, told = ask("callers", "--name", "h")
+    assert code == 0 and told["total_count"] == 1 and told["error"] is None and told["command"] == "callers"
+    assert [r["name"] for r in ask("symbol-at", "--path", "b.py", "--line", "5", "--col", "4")[1]["results"]] == ["h"]
+    assert [r["name"] for r in ask("symbols", "--kind", "function", "--sort", "name", "--order", "desc", "--limit", "1")[1]["results"]] == ["h"]
+    assert {r["name"] for r in ask("transitive-callees", "--name", "g", "--depth", "2")[1]["results"]} == {"g", "h"}
+    assert ask("callees", "--name", "none") == (1, {"command": "callees", "results": [], "total_count": 0, "error": "no such symbol"})
