@@ -77,7 +77,9 @@ class PythonFacts(ast.NodeVisitor):
         self.generic_visit(tree)
 
     def add(self, fact: str, node: ast.AST, name: str, kind: str, owner: int | None, detail: str = "") -> int:
-        span = (node.lineno - 1, node.col_offset, (node.end_lineno or node.lineno) - 1, node.end_col_offset or 0)
+        noted = getattr(node, "decorator_list", []) if fact == "symbol" else []
+        start = (noted[0].lineno - 1, max(noted[0].col_offset - 1, 0)) if noted else (node.lineno - 1, node.col_offset)
+        span = (*start, (node.end_lineno or node.lineno) - 1, node.end_col_offset or 0)
         key = fact_id(self.path, fact, kind, name, detail if fact != "symbol" else "", *span)
         self.rows.append((fact, key, name, kind, owner, detail, *span))
         return key
@@ -106,7 +108,7 @@ class PythonFacts(ast.NodeVisitor):
         key = self.add("symbol", node, node.name, "class", self.symbols[-1][0], self.visible(node.name))
         self.decorators(node, key)
         for base in node.bases:
-            self.add("member", base, ast.unparse(base), "base_class", key)
+            self.add("member", base, ast.unparse(base), "base_class", key, "public:" + ast.unparse(base))
             self.visit(base)
         self.body_of(node, key, "class")
 
@@ -124,7 +126,7 @@ class PythonFacts(ast.NodeVisitor):
             if x.annotation:
                 self.visit(x.annotation)
         if node.returns:
-            self.add("parameter", node.returns, "", "return", key, f"{len(every)}:{ast.unparse(node.returns)}")
+            self.add("parameter", node.returns, "", "return", key, f"0:{ast.unparse(node.returns)}")
             self.visit(node.returns)
         for x in [*a.defaults, *(d for d in a.kw_defaults if d)]:
             self.visit(x)
@@ -132,11 +134,11 @@ class PythonFacts(ast.NodeVisitor):
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
-    def assigned(self, target: ast.AST) -> None:
+    def assigned(self, target: ast.AST, typed: ast.AST | None = None) -> None:
         owner, kind = self.symbols[-1]
         if isinstance(target, ast.Name):
             if kind == "class":
-                self.add("member", target, target.id, "field", owner, self.visible(target.id))
+                self.add("member", target, target.id, "field", owner, self.visible(target.id) + (":" + ast.unparse(typed) if typed else ""))
             else:
                 self.add("symbol", target, target.id, "variable", owner, self.visible(target.id))
         elif isinstance(target, ast.Tuple | ast.List):
@@ -151,7 +153,7 @@ class PythonFacts(ast.NodeVisitor):
         self.visit(node.value)
 
     def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
-        self.assigned(node.target)
+        self.assigned(node.target, node.annotation)
         self.visit(node.annotation)
         if node.value:
             self.visit(node.value)

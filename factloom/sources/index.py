@@ -25,7 +25,7 @@ from factloom.sources.files import FACT, source_facts, source_files
 SPAN = ("start_line", "start_col", "end_line", "end_col")
 #: Columns of each table as SQL over the rows of a fact.
 COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
-    "symbols": ("symbol", ("id", "file_id", "name", "kind", "detail as visibility", "'[]' as modifiers", *SPAN, "owner as parent_symbol_id")),
+    "symbols": ("symbol", ("id", "file_id", "name", "kind", "split_part(detail, ':', 1) as visibility", "if(detail like '%:%', concat('[\"', replace(split_part(detail, ':', 2), ',', '\",\"'), '\"]'), '[]') as modifiers", *SPAN, "owner as parent_symbol_id")),
     "scopes": ("scope", ("id", "file_id", "cast(nullif(detail, '') as bigint) as symbol_id", "kind", *SPAN, "owner as parent_scope_id")),
     "references": ("reference", ("id", "file_id", "name", *SPAN, "kind as context")),
     "imports": (
@@ -40,16 +40,19 @@ COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
             "'file' as scope",
         ),
     ),
-    "type_members": ("member", ("id", "owner as symbol_id", "name", "kind", "'' as type_expr", "detail as visibility")),
+    "type_members": ("member", ("id", "owner as symbol_id", "name", "kind", "regexp_replace(detail, '^[^:]*:?', '') as type_expr", "split_part(detail, ':', 1) as visibility")),
     "function_parameters": (
         "parameter",
         ("id", "owner as symbol_id", "name", "cast(split_part(detail, ':', 1) as int) as ordinal", "regexp_replace(detail, '^[0-9]+:', '') as type_expr", "kind = 'receiver' as is_receiver", "kind = 'return' as is_return", "false as has_default", "'' as default_expr"),
     ),
+    "type_parameters": (
+        "type_parameter",
+        ("id", "owner as symbol_id", "name", "cast(split_part(detail, ':', 1) as int) as ordinal", "'' as variance", "kind as param_kind", "regexp_replace(detail, '^[0-9]+:', '') as constraints"),
+    ),
     "annotations": ("annotation", ("id", "owner as target_symbol_id", "name", "cast(null as bigint) as resolved_symbol_id", "detail as arguments", "file_id", "start_line as line", "start_col as col")),
     "reexports": ("import", ("id", "file_id", "cast(null as bigint) as original_symbol_id", "detail as exported_name")),
 }
 EMPTY = {
-    "type_parameters": "id long, symbol_id long, name string, ordinal int, variance string, param_kind string, constraints string",
     "symbol_fragments": "id long, symbol_id long, file_id long, start_line int, start_col int, end_line int, end_col int, is_primary boolean",
 }
 #: Stated, as a tree without facts leaves no file to infer it from.

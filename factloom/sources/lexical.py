@@ -44,6 +44,7 @@ class Token:
     text: str
     line: int
     col: int
+    pos: int = -1
 
     @property
     def end(self) -> tuple[int, int]:
@@ -88,7 +89,7 @@ def tokens_of(text: str, language: str) -> list[Token]:
     for m in PATTERNS[language].finditer(text):
         kind, raw = m.lastgroup, m.group()
         if kind != "skip" and (kind != "nl" or language in NEWLINE_ENDS):
-            out.append(Token(kind, raw, line, m.start() - start))
+            out.append(Token(kind, raw, line, m.start() - start, m.start()))
         if "\n" in raw:
             line += raw.count("\n")
             start = m.start() + raw.rfind("\n") + 1
@@ -121,6 +122,16 @@ def bracket(tokens: list[Token], at: int) -> int:
     return len(tokens) - 1
 
 
+def angle(tokens: list[Token], at: int) -> int:
+    """Index of the angle that closes the one at ``at``; the last token if none does."""
+    depth = 0
+    for k in range(at, len(tokens)):
+        depth += (tokens[k].text == "<") - (tokens[k].text == ">")
+        if depth == 0:
+            return k
+    return len(tokens) - 1
+
+
 class LexicalFacts:
     """Facts of one file as (fact, id, name, kind, owner, detail, span) rows."""
 
@@ -130,7 +141,8 @@ class LexicalFacts:
         self.known: set[int] = set()
         self.types: dict[str, int] = {}
         self.unbound: dict[int, str] = {}
-        self.tokens = tokens_of(text, language)
+        self.template: list[Token] = []
+        self.text, self.tokens = text, tokens_of(text, language)
         first, lines = Token("op", "", 0, 0), text.count("\n") + 1
         self.frames = [Frame("file", "", None, fact_id(path, "scope", 0, 0, "file"), first)]
         self.walk_ruby() if language == "ruby" else self.walk()
@@ -150,6 +162,13 @@ class LexicalFacts:
                 self.types.setdefault(name, key)
         return key
 
+    def written(self, part: list[Token], kept: list[Token]) -> str:
+        """What stands in the file for the kept tokens of a part; joined where others lie between."""
+        if not kept:
+            return ""
+        low, high = part.index(kept[0]), part.index(kept[-1]) + 1
+        return self.text[kept[0].pos : kept[-1].pos + len(kept[-1].text)] if part[low:high] == kept else joined(kept)
+
     def push(self, kind: str, what: str, owner: int | None, at: Token, symbol: tuple | None = None) -> None:
         private = self.language == "cpp" and what == "class"
         self.frames.append(Frame(kind, what, owner, fact_id(self.path, "scope", kind, at.line, at.col), at, symbol, "private" if private else "public"))
@@ -173,21 +192,28 @@ class LexicalFacts:
         if self.language == "javascript":
             return "public" if "export" in words else "private"
         said = next((w for w in words if w in ("public", "protected", "private")), None)
+        if said is None and self.frames[-1].what == "interface":
+            return "public"
         return said or ("package" if self.language == "java" else self.frames[-1].access)
 
+    def modifiers(self, words: list[str]) -> str:
+        """What is stored of the words before a declaration, behind its visibility; PHP's only."""
+        held = [w for w in words if w in ("static", "abstract", "final")] if self.language == "php" else []
+        return ":" + ",".join(held) if held else ""
+
     def bind(self) -> None:
         """Gives methods that stand before their receiver's type to it."""
         for k, row in enumerate(self.rows):
             owner = self.types.get(self.unbound.get(row[1], ""))
             if row[0] == "symbol" and owner is not None:
                 self.rows[k] = (*row[:4], owner, *row[5:])
-                self.rows.append(("member", fact_id(self.path, "member", row[1]), row[2], "method", owner, row[5], *row[6:]))
+                self.rows.append(("member", fact_id(self.path, "member", row[1]), row[2], "method", owner, row[5].partition(":")[0], *row[6:]))
 
     # Headers.
 
     def header(self, h: list[Token], opens: bool, end: Token) -> bool:
         """Declares what a header says; if it opens a body, pushes its frame. Says whether its names may be references."""
-        words, notes, k = [], [], 0
+        words, notes, k, self.template = [], [], 0, []
         while k < len(h):
             t = h[k]
             if t.text == "@" and k + 1 < len(h) and self.language in ("java", "typescript", "javascript"):
@@ -202,12 +228,9 @@ class LexicalFacts:
                 words.append(t.text)
                 k = bracket(h, k + 1) + 1 if t.text == "pub" and k + 1 < len(h) and h[k + 1].text == "(" else k + 1
             elif t.text == "template" and self.language == "cpp" and len(h) > k + 1:
-                depth = 0
-                for k in range(k + 1, len(h)):  # noqa: B020, PLW2901
-                    depth += (h[k].text == "<") - (h[k].text == ">")
-                    if depth == 0:
-                        break
-                k += 1
+                stop = angle(h, k + 1)
+                self.template = h[k + 2 : stop]
+                k = stop + 1
             else:
                 break
         body = h[k:]
@@ -304,13 +327,22 @@ class LexicalFacts:
             rest = rest[1:]
         if kind in ("function", "method"):
             return self.callable(rest, words, opens, first, end, None)
+        if lang in ("c", "cpp") and body[0].text in ("struct", "class", "enum"):
+            call = next((k for k, t in enumerate(body) if t.text in ("(", ":", "=")), 0)
+            if call and body[call].text == "(" and len([t for t in body[1:call] if t.kind == "name"]) > 1:
+                return False  # a function that returns one
         if lang == "go" and kind in ("variable", "constant", "type_alias") and rest[:1] and rest[0].text == "(":
             return True  # a group's lines come as headers of their own
         if body[0].text == "typedef":
             if opens:
                 kind, rest = next(((DECLARES[lang][t.text], rest[1:]) for t in rest[:1] if t.text in ("struct", "enum")), (kind, rest))
             else:
-                rest = [t for t in rest if t.kind == "name"][-1:]
+                at = next((k for k, t in enumerate(rest) if t.text == "("), None)
+                if at is None:
+                    rest = [t for t in rest if t.kind == "name"][-1:]
+                else:  # of a function, or a pointer to one
+                    pointer = at + 1 < len(rest) and rest[at + 1].text == "*"
+                    rest = [t for t in rest[at:] if t.kind == "name"][:1] if pointer else [t for t in rest[:at] if t.kind == "name"][-1:]
         names = [t for t in rest if t.kind == "name"]
         if lang in ("c", "cpp") and body[0].text in ("struct", "class", "enum") and not opens:
             return len(names) < 2
@@ -329,14 +361,86 @@ class LexicalFacts:
         self.declared.add((name.line, name.col))
         owner = self.owner()[0]
         key = fact_id(self.path, "symbol", kind, title, first.line, first.col, "")
-        symbol = ("symbol", title, kind, owner, self.visible(words, title), first)
+        if kind in ("variable", "constant") and lang in ("typescript", "javascript") and self.arrow(rest, title, words, opens, first, end):
+            return True
+        if kind not in ("package", "namespace", "variable", "constant"):
+            self.type_parameters(self.template or self.generic(rest, name)[0], key)
+        symbol = ("symbol", title, kind, owner, self.visible(words, title) + self.modifiers(words), first)
         if not opens or kind in ("variable", "constant", "type_alias"):
             self.add(*symbol, end)
             return True
         scope = "namespace" if kind in ("namespace", "package") else "module" if kind == "module" else "class"
         self.push(scope, kind, key if scope == "class" else None, end, symbol)
         if kind in TYPES:
-            self.bases(rest[1:], key)
+            self.bases(rest[self.generic(rest, name)[1] :], key)
+        return True
+
+    def type_parameters(self, tokens: list[Token], key: int) -> None:
+        """What stands between the angles (in Go, brackets) of a declaration."""
+        go, held = self.language == "go", []
+        for part in split_at(tokens):
+            names = [t for t in part if t.kind == "name"]
+            if not names:
+                continue
+            value = next((k for k, t in enumerate(part) if t.text == "=" and self.language in ("cpp", "typescript")), len(part))
+            if self.language == "cpp":
+                name = [t for t in part[:value] if t.kind == "name"][-1]
+                kind, rest = ("type" if part[0].text in ("typename", "class") else "value"), []
+            else:
+                name = next((t for t in names if t.text not in ("const", "in", "out")), names[0])
+                kind = "lifetime" if name.text[:1] == "'" else "value" if part[0].text == "const" and self.language == "rust" else "type"
+                rest = part[part.index(name) + 1 : value]
+                rest = rest[1:] if rest[:1] and rest[0].text == ":" else rest[1:] if self.language == "typescript" else rest
+            held.append((name, kind, self.written(part, rest), part[-1]))
+        for n, (name, kind, said, last) in enumerate(held):
+            if go and not said:  # names that share the constraint after the last of them
+                said = next((x[2] for x in held[n:] if x[2]), "")
+            self.declared.add((name.line, name.col))
+            self.add("type_parameter", name.text, kind, key, f"{n}:{said}", name, last)
+
+    def generic(self, rest: list[Token], name: Token) -> tuple[list[Token], int]:
+        """Tokens of the type parameters after a declaration's name, and where what follows them begins."""
+        at = rest.index(name) + 1
+        if at < len(rest) and rest[at].text == "<" and self.language in ("typescript", "java", "rust"):
+            stop = angle(rest, at)
+            return rest[at + 1 : stop], stop + 1
+        if at < len(rest) and rest[at].text == "[" and self.language == "go":
+            stop = bracket(rest, at)
+            inside = rest[at + 1 : stop]
+            if len(inside) > 1 and inside[0].kind == "name" and inside[1].text not in (".", "*", "+", "-"):
+                return inside, stop + 1
+        return [], at
+
+    def arrow(self, rest: list[Token], title: str, words: list[str], opens: bool, first: Token, end: Token) -> bool:
+        """A variable whose value is a function; says whether it is one."""
+        at = next((k for k, t in enumerate(rest) if t.text == "="), len(rest))
+        value = rest[at + 1 :]
+        value = value[1:] if value[:1] and value[0].text == "async" else value
+        if not value:
+            return False
+        start = next((k for k, t in enumerate(value) if t.text == "("), None) if value[0].text == "function" else 0
+        if value[0].text == "<":
+            start = angle(value, 0) + 1
+        typed = value[1 : start - 1] if value[0].text == "<" else []
+        if start is None or start >= len(value):
+            return False
+        if value[start].text == "(":
+            stop = bracket(value, start)
+            held, after = value[start + 1 : stop], value[stop + 1 :]
+        else:
+            held, after = value[start : start + 1], value[start + 1 :]
+        outer = next((k for k, t in enumerate(after) if t.text == "=>"), None)
+        if value[0].text != "function" and (outer is None or (outer > 0 and after[0].text != ":") or not (value[start].text == "(" or value[start].kind == "name")):
+            return False
+        key = fact_id(self.path, "symbol", "function", title, first.line, first.col, "")
+        self.parameters(held, key)
+        self.type_parameters(typed, key)
+        self.returned(after[:outer], [], key)
+        symbol = ("symbol", title, "function", self.owner()[0], self.visible(words, title), first)
+        if opens and (value[0].text == "function" or outer == len(after) - 1):
+            self.push("function", "", key, end, symbol)
+        else:
+            self.add(*symbol, end)
         return True
 
     def bases(self, rest: list[Token], key: int) -> None:
@@ -346,7 +450,7 @@ class LexicalFacts:
             if t.text in ("extends", "implements", ":") and (t.text != ":" or self.language == "cpp"):
                 on = True
             elif on and t.kind == "name" and t.text not in MODIFIERS:
-                self.add("member", t.text, "embedded" if self.language == "cpp" else "base_class", key, "", t, t)
+                self.add("member", t.text, "embedded" if self.language == "cpp" else "base_class", key, f"public:{t.text}", t, t)
 
     def callable(self, rest: list[Token], words: list[str], opens: bool, first: Token, end: Token, fixed: str | None) -> bool:
         """A function or method whose name and brackets are in rest."""
@@ -357,6 +461,15 @@ class LexicalFacts:
             receiver, rest = rest[1:stop], rest[stop + 1 :]
         at = next((k for k, t in enumerate(rest) if t.text == "("), None)
         named = [t for t in rest[:at] if t.kind == "name"]
+        typed = self.template
+        if self.language == "java" and rest[:1] and rest[0].text == "<":
+            stop = angle(rest, 0)
+            typed, rest = rest[1:stop], rest[stop + 1 :]
+            at = next((k for k, t in enumerate(rest) if t.text == "("), None)
+            named = [t for t in rest[:at] if t.kind == "name"]
+        elif named and self.language not in TYPE_FIRST:
+            typed, after = self.generic(rest, named[0])
+            at = next((k for k, t in enumerate(rest) if t.text == "(" and k >= after), None)
         if at is None or not named:
             if self.language == "rust" and named:  # a macro
                 at = len(rest)
@@ -369,31 +482,41 @@ class LexicalFacts:
             held = [t.text for t in receiver if t.kind == "name"]
             owner = next((self.types[x] for x in held if x in self.types), None)
         method = bool(receiver) or what != "" or (self.language == "cpp" and at > 1 and rest[at - 2].text == "::")
+        if method and self.language == "rust" and at < len(rest):  # what has no receiver belongs to the type, not to a value
+            method = any(t.text == "self" for part in split_at(rest[at + 1 : bracket(rest, at)])[:1] for t in part)
         kind = fixed or ("method" if method else "function")
         self.declared.add((name.line, name.col))
         key = fact_id(self.path, "symbol", kind, name.text, first.line, first.col, "")
-        symbol = ("symbol", name.text, kind, owner, self.visible(words, name.text), first)
+        symbol = ("symbol", name.text, kind, owner, self.visible(words, name.text) + self.modifiers(words), first)
         if receiver and owner is None and held:
             self.unbound[key] = held[min(1, len(held) - 1)]
-        if owner is not None and kind in ("method", "constructor"):
-            self.add("member", name.text, kind, owner, self.visible(words, name.text), name, end)
-        ordinal = 0
+        self.type_parameters(typed, key)
+        if owner is not None and (kind in ("method", "constructor") or what):
+            given = rest[: rest.index(name)] if self.language in TYPE_FIRST and kind != "constructor" else []
+            said = self.written(rest, given) if self.language != "rust" else self.written(rest, rest)
+            self.add("member", name.text, kind if kind == "constructor" else "method", owner, f"{self.visible(words, name.text)}:{said}".rstrip(":"), name, end)
         if receiver:
-            self.parameter(receiver, key, ordinal, "receiver")
-            ordinal = 1
+            self.parameter(receiver, key, 0, "receiver")
         stop = bracket(rest, at) if at < len(rest) else at
-        for part in split_at(rest[at + 1 : stop]):
-            ordinal += self.parameter(part, key, ordinal, "parameter")
-        self.returned(rest[stop + 1 :], rest[: rest.index(name)], key, ordinal)
+        self.parameters(rest[at + 1 : stop], key)
+        self.returned(rest[stop + 1 :], rest[: rest.index(name)], key)
         if not opens:
             self.add(*symbol, end)
             return True
         self.push("function", "", key, end, symbol)
         return True
 
-    def parameter(self, part: list[Token], key: int, ordinal: int, kind: str) -> int:
-        value = next((k for k, t in enumerate(part) if t.text == "="), len(part))
-        part = [t for t in part[:value] if t.text not in ("final", "mut", "readonly", "public", "private", "protected", "...")]
+    def parameters(self, tokens: list[Token], key: int) -> None:
+        parts, ordinal = split_at(tokens), 0
+        named = self.language == "go" and any(len(x) > 1 and x[0].kind == "name" and x[1].text not in (".", "(", "[") or len(x) > 2 and x[0].kind == "name" and x[1].text == "[" and x[2].text == "]" for x in parts)
+        for n, part in enumerate(parts):
+            shared = next((x[1:] for x in parts[n:] if len(x) > 1), []) if named and len(part) == 1 else []
+            ordinal += self.parameter(part, key, ordinal, "parameter", shared)
+
+    def parameter(self, whole: list[Token], key: int, ordinal: int, kind: str, shared: list[Token] | None = None) -> int:
+        """One parameter; in Go ``shared`` is the type that stands after a later name."""
+        value = next((k for k, t in enumerate(whole) if t.text == "="), len(whole))
+        part = [t for t in whole[:value] if t.text not in ("final", "mut", "readonly", "public", "private", "protected", "...")]
         names = [t for t in part if t.kind == "name"]
         if not names or (self.language in TYPE_FIRST and len(names) == 1):
             return 0
@@ -401,11 +524,17 @@ class LexicalFacts:
         if name.text == "self":
             kind = "receiver"
         kept = [t for t in part if t is not name and t.text not in (":", "?")]
+        said = self.written(whole, kept)
+        if shared:
+            said = self.written(shared, shared)
+        elif kind == "receiver" and self.language == "rust" and ":" not in [t.text for t in whole]:
+            said = self.written(whole, whole)
         self.declared.add((name.line, name.col))
-        self.add("parameter", name.text.lstrip("$"), kind, key, f"{ordinal}:{joined(kept)}", name, part[-1])
+        self.add("parameter", name.text.lstrip("$"), kind, key, f"{ordinal}:{said}", name, part[-1])
         return 1
 
-    def returned(self, after: list[Token], before: list[Token], key: int, ordinal: int) -> None:
+    def returned(self, after: list[Token], before: list[Token], key: int) -> None:
+        """Return types, numbered by themselves."""
         if self.language in TYPE_FIRST:
             while len(before) > 1 and before[-1].text == "::":
                 before = before[:-2]
@@ -413,8 +542,15 @@ class LexicalFacts:
         else:
             kept = after[1:] if after[:1] and after[0].text in (":", "->") else after if self.language == "go" else []
         stop = next((k for k, t in enumerate(kept) if t.text in ("where", "=", "=>")), len(kept))
-        if kept[:stop] and joined(kept[:stop]) != "void":
-            self.add("parameter", "", "return", key, f"{ordinal}:{joined(kept[:stop])}", kept[0], kept[stop - 1])
+        kept = kept[:stop]
+        if kept and self.language == "go" and kept[0].text == "(":
+            parts = split_at(kept[1 : bracket(kept, 0)])
+            named = any(len(x) > 1 and x[0].kind == "name" and x[1].text not in (".", "[", "(") for x in parts)
+            for n, part in enumerate(parts):
+                kind = next((x[1:] for x in parts[n:] if len(x) > 1), part) if named else part
+                self.add("parameter", part[0].text if named else "", "return", key, f"{n}:{self.written(kind, kind)}", part[0], part[-1])
+        elif kept and joined(kept) != "void":
+            self.add("parameter", "", "return", key, f"0:{self.written(kept, kept)}", kept[0], kept[-1])
 
     def shape(self, body: list[Token], words: list[str], opens: bool, first: Token, end: Token) -> bool:
         """Methods, functions and fields without a keyword of their own."""
@@ -422,7 +558,7 @@ class LexicalFacts:
             return False
         lang, inside, what = self.language, self.frames[-1].kind == "class", self.frames[-1].what
         texts = [t.text for t in body]
-        assigned = texts.index("=") if "=" in texts else len(body)
+        assigned = min((texts.index(x) for x in ("=", ":=") if x in texts), default=len(body))
         call = texts.index("(") if "(" in texts else len(body)
         if call < assigned and call > 0 and body[call - 1].kind == "name":
             bare = call == 1
@@ -430,7 +566,7 @@ class LexicalFacts:
                 made = lang == "java" and bare
                 return self.callable(body, words, opens, first, end, "constructor" if made else None)
             if inside and lang == "go" and what == "interface":
-                self.add("member", body[0].text, "method", self.frames[-1].owner, self.visible(words, body[0].text), body[0], end)
+                self.add("member", body[0].text, "method", self.frames[-1].owner, f"{self.visible(words, body[0].text)}:{self.written(body, body)}", body[0], end)
                 return False
             if inside and what == "enum" and bare:
                 return self.variant(body, end)
@@ -441,40 +577,63 @@ class LexicalFacts:
         if inside and what == "enum" and not (lang == "java" and len([t for t in body[:assigned] if t.kind == "name"]) > 1):
             return self.variant(body, end)
         if inside:
-            return self.fields(body[:assigned], words, end)
+            return self.fields(body[:assigned], words, first, end)
         if lang == "go" and ":=" in texts:
             for t in body[: texts.index(":=")]:
                 if t.kind == "name" and t.text != "_" and t.text not in CONTROL:
                     self.add("symbol", t.text, "variable", None, self.visible(words, t.text), t, end)
                     self.declared.add((t.line, t.col))
-        elif lang in ("c", "cpp") and not opens and self.frames[-1].kind in ("file", "namespace") and len([t for t in body[:assigned] if t.kind == "name"]) > 1:
-            name = [t for t in body[:assigned] if t.kind == "name"][-1]
-            self.declared.add((name.line, name.col))
-            self.add("symbol", name.text, "variable", None, self.visible(words, name.text), first, end)
+        elif lang in ("c", "cpp") and not opens:
+            self.variables(body, words, first, end)
         return False
 
+    def variables(self, body: list[Token], words: list[str], first: Token, end: Token) -> None:
+        """A type and the names that it is given, at any depth of C and C++."""
+        for n, part in enumerate(split_at(body)):
+            stop = next((k for k, t in enumerate(part) if t.text in ("=", "[")), len(part))
+            held = part[:stop]
+            names = [t for t in held if t.kind == "name"]
+            if len(names) < 2 - (n > 0) or any(t.kind != "name" and t.text not in ("*", "&", "::", "<", ">", ",") for t in held) or held[-1].kind != "name":
+                return
+            if names[0].text in CONTROL or names[0].text in ("goto", "break", "continue", "using", "delete") or (len(held) > 1 and held[-2].text == "::"):
+                return
+            self.declared.add((names[-1].line, names[-1].col))
+            self.add("symbol", names[-1].text, "variable", None, self.visible(words, names[-1].text), first, end)
+
     def variant(self, body: list[Token], end: Token) -> bool:
         if body[0].kind == "name":
             self.add("member", body[0].text, "variant", self.frames[-1].owner, "public", body[0], body[-1])
+            if self.language == "c":  # its names are visible without the enumeration's
+                self.add("symbol", body[0].text, "constant", None, "public", body[0], body[-1])
             self.declared.add((body[0].line, body[0].col))
         return False
 
-    def fields(self, part: list[Token], words: list[str], end: Token) -> bool:
+    def fields(self, part: list[Token], words: list[str], first: Token, end: Token) -> bool:
         lang, owner = self.language, self.frames[-1].owner
         names = [t for t in part if t.kind == "name"]
         if not names:
             return False
         if lang == "go" and (len(names) == 1 or part[0].text == "*" or (len(part) > 1 and part[1].text == ".")):
-            self.add("member", names[-1].text, "embedded", owner, self.visible(words, names[-1].text), part[0], part[-1])
+            kept = [t for t in part if t.kind != "str"]
+            self.add("member", names[-1].text, "embedded", owner, f"{self.visible(words, names[-1].text)}:{self.written(part, kept).lstrip('*')}", part[0], part[-1])
             return False
         if lang == "php" and part[0].text == "use":
             for t in names[1:]:
-                self.add("member", t.text, "embedded", owner, "", t, t)
+                self.add("member", t.text, "embedded", owner, f"public:{t.text}", t, t)
             return False
         name = names[-1] if lang in TYPE_FIRST else next((t for t in names if t.text.startswith("$")), names[0])
         kind = "property" if lang in ("typescript", "javascript", "php") else "constant" if lang == "java" and {"static", "final"} <= set(words) else "field"
         self.declared.add((name.line, name.col))
-        self.add("member", name.text.lstrip("$"), kind, owner, self.visible(words, name.text), name, end)
+        at = part.index(name)
+        if lang in TYPE_FIRST or lang == "php":
+            kept = part[:at]
+        else:
+            kept = [t for t in part[at + 1 :] if t.kind != "str"] if lang in ("go", "rust", "typescript") else []
+            kept = kept[1:] if kept and kept[0].text in ("?", "!") else kept
+            kept = kept[1:] if kept and kept[0].text == ":" else kept
+        self.add("member", name.text.lstrip("$"), kind, owner, f"{self.visible(words, name.text)}:{self.written(part, kept)}".rstrip(":"), name, end)
+        if lang == "java" and kind == "constant":
+            self.add("symbol", name.text, kind, owner, self.visible(words, name.text), first, end)
         return False
 
     # The walk.
@@ -512,14 +671,17 @@ class LexicalFacts:
         return last not in ("=", ",", "+", "-", "*", "&", "|", "(", "[", ":", ".", "=>", "?", "<", "extends", "implements") and after not in (".", "?.", "{", "&", "|", "?", ":") or self.language == "go"
 
     def walk(self) -> None:
+        first = Token("op", "", 0, 0)
         names: list[int] = []  # of the header, referred to once it is known what it declares
         group = ""
+        opened = closed = first  # of the group
 
         def settle(opens: bool, end: Token) -> None:
             f = self.frames[-1]
             h, f.header = f.header, []
             if group and h and h[0].text != group and not opens:
-                h = [Token("name", group, h[0].line, h[0].col), *h]
+                at, end = (h[0], end) if group == "type" else (opened, closed)
+                h = [Token("name", group, at.line, at.col), *h]
             grown = len(self.frames)
             refers = self.header(h, opens, end) if h or opens else True
             inner = self.frames[grown:]
@@ -539,7 +701,8 @@ class LexicalFacts:
             inline = t.text == "{" and f.header and (f.header[0].text == "use" and self.language == "rust" or f.header[0].text in ("import", "export") and self.language in ("typescript", "javascript") and len(f.header) < 4 and f.header[-1].text in ("import", "export", ",", "type"))
             if t.kind == "op" and t.text in "([" or inline:
                 if t.text == "(" and self.language == "go" and f.depth == 0 and len(f.header) == 1 and f.header[0].text in ("var", "const", "type"):
-                    group, f.header = f.header[0].text, []
+                    opened, closed = f.header[0], self.tokens[bracket(self.tokens, k)]
+                    group, f.header = opened.text, []
                     continue
                 f.depth += 1
                 f.header.append(t)
@@ -624,7 +787,7 @@ class LexicalFacts:
                     self.declared.add((one.line, one.col))
                     self.add("parameter", one.text, "parameter", key, f"{n}:", one, one)
         elif len(names) > 1 and any(x.text == "<" for x in rest):
-            self.add("member", names[-1].text, "base_class", key, "", names[-1], names[-1])
+            self.add("member", names[-1].text, "base_class", key, f"public:{names[-1].text}", names[-1], names[-1])
 
     def ruby_line(self, line: list[Token]) -> None:
         head, f = line[0], self.frames[-1]
@@ -635,6 +798,7 @@ class LexicalFacts:
             f.access = head.text
         elif f.kind == "class" and head.text in ("attr_reader", "attr_writer", "attr_accessor", "include", "extend", "prepend"):
             for t in values:
-                self.add("member", t.text, "property" if head.text.startswith("attr") else "embedded", f.owner, f.access, t, t)
+                attribute = head.text.startswith("attr")
+                self.add("member", t.text, "property" if attribute else "embedded", f.owner, "public" if attribute else f"public:{t.text}", t, t)
         elif f.kind == "class" and len(line) > 2 and line[1].text == "=" and head.text[:1].isupper():
             self.add("member", head.text, "constant", f.owner, f.access, head, line[-1])
