@@ -32,8 +32,7 @@ def refs_in(facts, languages: tuple[str, ...], *contexts: str) -> DataFrame:
 
 def public_targets(facts, languages: tuple[str, ...], kinds: tuple[str, ...] = ()) -> DataFrame:
     """Open symbols that are public, or have no visibility, in files of some languages."""
-    rows = R.open_targets(facts).filter("visibility = 'public' or visibility is null")
-    rows = rows.filter(F.col("kind").isin(*kinds)) if kinds else rows
+    rows = R.open_targets(facts, kinds).filter("visibility = 'public' or visibility is null")
     home = homes(facts, languages).select(F.col("file_id").alias("target_file"), "language", "stem")
     return rows.join(home, "target_file")
 
@@ -55,6 +54,25 @@ def module_import(facts, languages: tuple[str, ...], pass_no: int, confidence: f
     return R.candidate(rows, pass_no, F.col("target_file"), F.col("target_symbol_id"), confidence, "import")
 
 
+def included(facts, languages: tuple[str, ...], pass_no: int, kinds: tuple[str, ...] = ("header",)) -> DataFrame:
+    """A name in a file that includes a file by its name, ending and all: the first symbol of that name there."""
+    home = homes(facts, languages).select("file_id", "language")
+    files = facts.files.select(F.col("id").alias("target_file"), P.basename(F.col("path")).alias("base")).join(home.withColumnRenamed("file_id", "target_file"), "target_file")
+    asked = facts.imports.filter(F.col("kind").isin(*kinds)).select("file_id", P.basename(F.col("source")).alias("base")).distinct()
+    first = first_two(R.open_targets(facts).join(files, "target_file"), "language", "base", "name")
+    rows = refs_in(facts, languages).join(asked, "file_id").join(first, ["language", "base", "name"]).filter("file_id <> target_file")
+    return R.candidate(rows, pass_no, F.col("target_file"), F.col("target_symbol_id"), 1.0, "import")
+
+
+def member_owner(facts, languages: tuple[str, ...], pass_no: int) -> DataFrame:
+    """A field access: the first struct of the language that has a member of that name, whatever the file."""
+    home = homes(facts, languages).select(F.col("file_id").alias("target_file"), "language")
+    structs = facts.symbols.filter("kind = 'struct'").select(F.col("id").alias("symbol_id"), F.col("file_id").alias("target_file")).join(home, "target_file")
+    first = facts.type_members.select("symbol_id", "name").join(structs, "symbol_id").groupBy("language", "name").agg(F.min(F.struct("target_file", "symbol_id")).alias("t"))
+    rows = refs_in(facts, languages, "field_access").join(first.select("language", "name", "t.target_file", F.col("t.symbol_id").alias("target_symbol_id")), ["language", "name"])
+    return R.candidate(rows, pass_no, F.col("target_file"), F.col("target_symbol_id"), 0.7, "direct")
+
+
 def default_import(facts, languages: tuple[str, ...], pass_no: int) -> DataFrame:
     """The local name of a default import: the first public symbol of the module's file."""
     asked = facts.imports.filter("kind = 'default' and local_alias is not null").select("file_id", F.col("local_alias").alias("name"), P.stem(P.module_source(F.col("source"))).alias("stem")).distinct()
@@ -175,11 +193,13 @@ def candidates(facts) -> list[DataFrame]:
         consumed(facts, script, ("namespace",)),
         named_import(facts, ("python", "rust"), 10, 0.9),
         named_import(facts, (*script, "php"), 10, 1.0),
+        included(facts, c, 10),
         module_import(facts, (*script, *c), 11, 1.0),
         module_import(facts, ("ruby",), 11, 0.9),
         default_import(facts, script, 12),
         wildcard(facts, ("python",), 13),
         in_class(facts, ("python", "php", "ruby", "typescript", "javascript", "java", "rust", "cpp"), 14),
+        member_owner(facts, ("c",), 16),
         of_kind(facts, ("php", "ruby"), 16, ("type_annotation", "call"), CLASSES, 0.8),
         of_kind(facts, c, 16, ("call", "type_annotation"), ("function", *CLASSES), 0.8),
     ]
@@ -212,5 +232,9 @@ def by_name(facts, pass_no: int = 20) -> DataFrame:
 
 
 def resolve(facts) -> DataFrame:
-    """Every reference's link by the rules for all languages, then those of its own, then by name within its language."""
-    return R.resolved(R.winners(*[f(facts) for f in R.PASSES[:-1]], *candidates(facts), by_name(facts)))
+    """Every reference's link by the rules for all languages, then those of its own, then by name within its language.
+
+    Ids are hashes here, so of symbols of one file the first is the one that stands first.
+    """
+    near = [f(facts, "target_line") if f in (R.by_scope, R.by_file) else f(facts) for f in R.PASSES[:-1]]
+    return R.resolved(R.winners(*near, *candidates(facts), by_name(facts)))

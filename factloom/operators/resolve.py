@@ -45,18 +45,18 @@ def targets(facts) -> DataFrame:
     return facts.symbols.select(F.col("id").alias("target_symbol_id"), "name", F.col("file_id").alias("target_file"), "kind", "visibility", F.col("start_line").alias("target_line"))
 
 
-def by_scope(facts) -> DataFrame:
+def by_scope(facts, tie: str = "target_symbol_id") -> DataFrame:
     """Same file and name, first line within a scope around the reference, from the innermost out."""
     own = refs(facts).join(targets(facts).withColumnRenamed("target_file", "file_id"), ["file_id", "name"])
     chain = ancestors(facts).select(F.col("start_id").alias("scope_id"), "depth", F.col("start_line").alias("low"), F.col("end_line").alias("high"))
     rows = own.join(innermost_scope(facts), "reference_id").join(chain, "scope_id").filter(F.col("target_line").between(F.col("low"), F.col("high")))
-    return candidate(rows, 1, F.col("depth"), F.col("target_symbol_id"), 1.0, "direct")
+    return candidate(rows, 1, F.col("depth"), F.col(tie), 1.0, "direct")
 
 
-def by_file(facts) -> DataFrame:
+def by_file(facts, tie: str = "target_symbol_id") -> DataFrame:
     """Same file and name, packages aside."""
     rows = refs(facts).join(targets(facts).withColumnRenamed("target_file", "file_id"), ["file_id", "name"]).filter(~F.col("kind").isin(*PACKAGE_KINDS))
-    return candidate(rows, 2, F.lit(0), F.col("target_symbol_id"), 0.9, "direct")
+    return candidate(rows, 2, F.lit(0), F.col(tie), 0.9, "direct")
 
 
 def local_symbols(facts) -> DataFrame:
@@ -66,8 +66,10 @@ def local_symbols(facts) -> DataFrame:
     return rows.select(F.col("id").alias("target_symbol_id")).distinct()
 
 
-def open_targets(facts) -> DataFrame:
-    rows = targets(facts).filter(~F.col("kind").isin(*PACKAGE_KINDS) & F.col("target_file").isNotNull())
+def open_targets(facts, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Symbols that other files can reach: those of some kinds, else all but packages."""
+    wanted = F.col("kind").isin(*kinds) if kinds else ~F.col("kind").isin(*PACKAGE_KINDS)
+    rows = targets(facts).filter(wanted & F.col("target_file").isNotNull())
     return rows.join(local_symbols(facts), "target_symbol_id", "left_anti")
 
 

@@ -45,8 +45,9 @@ def module_sql(languages: tuple[str, ...], confidence: float) -> str:
 
 
 def kind_sql(languages: tuple[str, ...], contexts: str, kinds: str) -> str:
-    rows = f"select rf.reference_id, pub.tf, pub.target from rf join pub on pub.name = rf.name and pub.language = rf.language and pub.tf <> rf.file_id and pub.kind in {kinds} where rf.context in {contexts} and rf.language in {listed(*languages)}"
-    return best(rows, "0.8", "direct", 16)
+    every = f"{BASE}, held as (select s.id as target, s.name, s.file_id as tf, fl.language from cx_symbols s join fl using (file_id) where s.kind in {kinds} and (s.visibility = 'public' or s.visibility is null) and s.id not in (select id from loc))"
+    rows = f"select rf.reference_id, held.tf, held.target from rf join held on held.name = rf.name and held.language = rf.language and held.tf <> rf.file_id where rf.context in {contexts} and rf.language in {listed(*languages)}"
+    return best(rows, "0.8", "direct", 16, every)
 
 
 INHERIT = f"""own as (select parent_symbol_id as class_id, name, min(id) as method_id from cx_symbols where kind in {CALL} and parent_symbol_id is not null group by all),
@@ -80,6 +81,14 @@ CATALOG = {
     "resolve_named_import_script": (won(lambda x: N.named_import(x, (*SCRIPT, "php"), 10, 1.0)), named_sql((*SCRIPT, "php"), 1.0)),
     "resolve_module_import": (won(lambda x: N.module_import(x, (*SCRIPT, *C), 11, 1.0)), module_sql((*SCRIPT, *C), 1.0)),
     "resolve_require_ruby": (won(lambda x: N.module_import(x, ("ruby", "php", "go"), 11, 0.9)), module_sql(("ruby", "php", "go"), 0.9)),
+    "resolve_include": (
+        won(lambda x: N.included(x, ALL, 10, ("module", "named", "namespace"))),
+        best("select rf.reference_id, ot.tf, ot.target from rf join cx_imports i on i.file_id = rf.file_id and i.kind in ('module', 'named', 'namespace') join cx_files f on string_split(f.path, '/')[-1] = string_split(i.source, '/')[-1] join ot on ot.tf = f.id and ot.name = rf.name and ot.language = rf.language and ot.tf <> rf.file_id", "1.0", "import", 10),
+    ),
+    "resolve_member_owner": (
+        won(lambda x: N.member_owner(x, ALL, 16)),
+        best("select rf.reference_id, s.file_id as tf, s.id as target from rf join cx_type_members m on m.name = rf.name join cx_symbols s on s.id = m.symbol_id and s.kind = 'struct' join fl on fl.file_id = s.file_id and fl.language = rf.language where rf.context = 'field_access'", "0.7", "direct", 16),
+    ),
     "resolve_default_import": (
         won(lambda x: N.default_import(x, SCRIPT, 12)),
         best(f"select rf.reference_id, pub.tf, pub.target from rf join cx_imports i on i.file_id = rf.file_id and i.kind = 'default' and i.local_alias = rf.name join pub on pub.language = rf.language and pub.stem = {STEM.format(MODULE.format('i.source'))} and pub.tf <> rf.file_id where rf.language in {listed(*SCRIPT)}", "0.8", "import", 12),

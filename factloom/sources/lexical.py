@@ -29,7 +29,7 @@ DECLARES = {
     "ruby": {"module": "module", "class": "class", "def": "function"},
 }
 #: Words before a declaration that do not name it.
-MODIFIERS = set("abstract async declare default export extern final inline internal native open override private protected pub public readonly static strictfp synchronized transient unsafe virtual volatile constexpr explicit friend mutable".split())
+MODIFIERS = set("abstract async declare default export extern final inline internal native override private protected pub public readonly static strictfp synchronized transient unsafe virtual volatile constexpr explicit friend mutable".split())
 #: Words that are followed by a bracket and are no call.
 CONTROL = set("if for while switch catch return sizeof foreach elseif match select defer go elsif unless until case when new throw func fn function typeof await yield and or not in do else super".split())
 TYPES = {"class", "struct", "interface", "trait", "enum"}
@@ -647,7 +647,7 @@ class LexicalFacts:
     def refer(self, k: int) -> None:
         t, before = self.tokens[k], self.tokens[k - 1].text if k else ""
         after = self.tokens[k + 1].text if k + 1 < len(self.tokens) else ""
-        if (t.line, t.col) in self.declared or t.text in CONTROL or t.text in MODIFIERS or t.text in DECLARES[self.language]:
+        if (t.line, t.col) in self.declared or (t.text in CONTROL and (t.text, self.language) != ("new", "rust")) or t.text in MODIFIERS or t.text in DECLARES[self.language]:
             return
         scope = self.frames[-1].scope
         if (before in (".", "?.") or before == "->" and self.language in ("c", "cpp")) and self.language not in ("php", "ruby"):
@@ -656,7 +656,7 @@ class LexicalFacts:
             self.add("reference", t.text, "call", scope, "", t, t)
         elif t.text[:1].isupper():
             self.add("reference", t.text, "type_annotation", scope, "", t, t)
-        elif self.language == "c" and self.frames[-1].kind in ("function", "block"):
+        elif self.frames[-1].kind in ("function", "block") and (self.language == "c" or self.language in ("go", "javascript", "typescript") and after in (".", "?.") and t.text != "this"):
             self.add("reference", t.text, "read", scope, "", t, t)
 
     def command(self, k: int) -> bool:

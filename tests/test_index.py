@@ -90,3 +90,18 @@ def test_commands_take_arguments(spark, tmp_path, capsys):
     assert [r["name"] for r in ask("symbols", "--kind", "function", "--sort", "name", "--order", "desc", "--limit", "1")[1]["results"]] == ["h"]
     assert {r["name"] for r in ask("transitive-callees", "--name", "g", "--depth", "2")[1]["results"]} == {"g", "h"}
     assert ask("callees", "--name", "none") == (1, {"command": "callees", "results": [], "total_count": 0, "error": "no such symbol"})
+
+
+def test_headers_are_included_by_name_and_fields_lead_to_their_struct(spark, tmp_path):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "util.h").write_text("struct Box { int width; };\nint area(struct Box *b);\n")
+    (tree / "util.c").write_text('#include "util.h"\nint area(struct Box *b) {\n  return b->width;\n}\n')
+    (tree / "main.c").write_text('#include "util.h"\nint main(void) {\n  struct Box b;\n  return area(&b);\n}\n')
+    facts = index(spark, str(tree), str(tmp_path / "out"))
+    path = {r.id: r.path for r in facts.files.collect()}
+    symbol = {r.id: r for r in facts.symbols.collect()}
+    link = {r.reference_id: symbol[r.target_symbol_id] for r in facts.resolved_references.collect()}
+    got = {(path[r.file_id], r.name, link[r.id].name, path[link[r.id].file_id]) for r in facts.references.collect() if r.id in link}
+    assert {("main.c", "area", "area", "util.h"), ("util.c", "width", "Box", "util.h")} <= got
+    assert {(r.name, r.type_expr) for r in facts.type_members.collect()} == {("width", "int")}

@@ -99,3 +99,29 @@ def test_methods_before_their_type():
 def test_brackets_in_strings_and_remarks_do_not_nest():
     rows = facts("java", 'class A { String s = "{"; // {\n /* { */ int f() { return 1; } }\nclass B { }\n')
     assert {(r[2], r[4] is None) for r in rows if r[0] == "symbol"} == {("A", True), ("f", False), ("B", True)}
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "want"),
+    [
+        ("go", "package a\nfunc Map[T, U any, V ~int](x []T) U { }\ntype P[T any] struct {\n}\ntype Q [4]int\n", [("T", "type", "0:any"), ("U", "type", "1:any"), ("V", "type", "2:~int"), ("T", "type", "0:any")]),
+        ("java", "class A<T extends B<T>, U> {\n  <V> V f(V v) { return v; }\n}\n", [("T", "type", "0:extends B<T>"), ("U", "type", "1:"), ("V", "type", "0:")]),
+        ("rust", "struct A<'a, T: Copy + Clone, const N: usize> { x: &'a T }\nfn f<F: Fn(i32) -> i32>(g: F) { }\n", [("'a", "lifetime", "0:"), ("T", "type", "1:Copy + Clone"), ("N", "value", "2:usize"), ("F", "type", "0:Fn(i32) -> i32")]),
+        ("cpp", "template <typename T, int N = 3>\nclass A { };\ntemplate <class U> U f(U u) { return u; }\n", [("T", "type", "0:"), ("N", "value", "1:"), ("U", "type", "0:")]),
+        ("typescript", "function f<T extends X = Y>(a: T[]): T { return a[0] }\nconst g = <U>(a: U): U => a;\n", [("T", "type", "0:X"), ("U", "type", "0:")]),
+    ],
+)
+def test_type_parameters(language, text, want):
+    assert sorted((r[2], r[3], r[5]) for r in facts(language, text) if r[0] == "type_parameter") == sorted(want)
+
+
+def test_parameters_and_returns():
+    rows = facts("go", "package a\nfunc (s *T) F(a, b int, c ...string) (x, y int, err error) { }\nfunc G(int, string) ([]byte, error) { }\n")
+    got = {(r[2], r[3], r[5]) for r in rows if r[0] == "parameter"}
+    assert got >= {("s", "receiver", "0:*T"), ("a", "parameter", "0:int"), ("b", "parameter", "1:int"), ("x", "return", "0:int"), ("y", "return", "1:int"), ("err", "return", "2:error"), ("", "return", "0:[]byte"), ("", "return", "1:error")}
+
+
+def test_functions_held_by_constants():
+    rows = facts("javascript", "const f = (a, b) => a + b;\nconst g = async x => { return f(x) };\nconst h = function (q) { };\nconst n = (1 + 2);\nconst m = list.map(x => x);\n")
+    assert {(r[2], r[3]) for r in rows if r[0] == "symbol"} == {("f", "function"), ("g", "function"), ("h", "function"), ("n", "constant"), ("m", "constant")}
+    assert sorted(r[2] for r in rows if r[0] == "parameter") == ["a", "b", "q", "x"]
