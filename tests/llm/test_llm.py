@@ -72,6 +72,19 @@ def test_exact_dedup(spark, docs, nothing):
     assert exact_dedup.groups(spark, nothing).isEmpty() and exact_dedup.dedup(spark, nothing).isEmpty()
 
 
+def test_exact_dedup_in_parts(spark, docs, nothing, monkeypatch):
+    """More rows than one filter takes give the same rows as one filter for all."""
+    whole = sorted(exact_dedup.groups(spark, docs).drop("rid").collect())
+    kept = sorted(r.doc_id for r in exact_dedup.dedup(spark, docs).collect())
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 64)
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS", 64)
+    assert exact_dedup.parts_of(len(ROWS)) > 4 and [exact_dedup.parts_of(x) for x in (0, 1, 8, 9, 16, 17)] == [1, 1, 1, 2, 2, 4]
+    assert sorted(exact_dedup.groups(spark, docs).drop("rid").collect()) == whole
+    parted = exact_dedup.dedup(spark, docs)
+    assert parted.columns == docs.columns and sorted(r.doc_id for r in parted.collect()) == kept
+    assert exact_dedup.groups(spark, nothing).isEmpty() and exact_dedup.dedup(spark, nothing).isEmpty()
+
+
 def test_null_ids_are_smallest(spark):
     rows = spark.createDataFrame([(None, "a"), (4, "A"), (None, "b")], "doc_id long, text string")
     assert sorted((r.keep_id is None, r.group_size) for r in exact_dedup.groups(spark, rows).collect()) == [(False, 2), (False, 2), (True, 1)]
