@@ -54,10 +54,10 @@ def module_import(facts, languages: tuple[str, ...], pass_no: int, confidence: f
     return R.candidate(rows, pass_no, F.col("target_file"), F.col("target_symbol_id"), confidence, "import")
 
 
-def included(facts, languages: tuple[str, ...], pass_no: int, kinds: tuple[str, ...] = ("header",)) -> DataFrame:
-    """A name in a file that includes a file by its name, ending and all: the first symbol of that name there."""
+def included(facts, languages: tuple[str, ...], pass_no: int, kinds: tuple[str, ...] = ("header",), called=P.basename) -> DataFrame:
+    """A name in a file that includes a file by what it is called (its name, ending and all): the first symbol of that name there."""
     home = homes(facts, languages).select("file_id", "language")
-    files = facts.files.select(F.col("id").alias("target_file"), P.basename(F.col("path")).alias("base")).join(home.withColumnRenamed("file_id", "target_file"), "target_file")
+    files = facts.files.select(F.col("id").alias("target_file"), called(F.col("path")).alias("base")).join(home.withColumnRenamed("file_id", "target_file"), "target_file")
     asked = facts.imports.filter(F.col("kind").isin(*kinds)).select("file_id", P.basename(F.col("source")).alias("base")).distinct()
     first = first_two(R.open_targets(facts).join(files, "target_file"), "language", "base", "name")
     rows = refs_in(facts, languages).join(asked, "file_id").join(first, ["language", "base", "name"]).filter("file_id <> target_file")

@@ -82,8 +82,8 @@ CATALOG = {
     "resolve_module_import": (won(lambda x: N.module_import(x, (*SCRIPT, *C), 11, 1.0)), module_sql((*SCRIPT, *C), 1.0)),
     "resolve_require_ruby": (won(lambda x: N.module_import(x, ("ruby", "php", "go"), 11, 0.9)), module_sql(("ruby", "php", "go"), 0.9)),
     "resolve_include": (
-        won(lambda x: N.included(x, ALL, 10, ("module", "named", "namespace"))),
-        best("select rf.reference_id, ot.tf, ot.target from rf join cx_imports i on i.file_id = rf.file_id and i.kind in ('module', 'named', 'namespace') join cx_files f on string_split(f.path, '/')[-1] = string_split(i.source, '/')[-1] join ot on ot.tf = f.id and ot.name = rf.name and ot.language = rf.language and ot.tf <> rf.file_id", "1.0", "import", 10),
+        won(lambda x: N.included(x, ALL, 10, ("module", "named", "namespace"), P.stem)),
+        best(f"select rf.reference_id, ot.tf, ot.target from rf join cx_imports i on i.file_id = rf.file_id and i.kind in ('module', 'named', 'namespace') join cx_files f on {STEM.format('f.path')} = string_split(i.source, '/')[-1] join ot on ot.tf = f.id and ot.name = rf.name and ot.language = rf.language and ot.tf <> rf.file_id", "1.0", "import", 10),
     ),
     "resolve_member_owner": (
         won(lambda x: N.member_owner(x, ALL, 16)),
