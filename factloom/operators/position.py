@@ -15,8 +15,9 @@ from factloom.operators.graph import cut
 LINES = 64
 
 
-def in_file(facts, path: str) -> DataFrame:
-    return facts.files.filter(F.col("path") == path).select(F.col("id").alias("file_id"))
+def in_file(facts, path: str | int) -> DataFrame:
+    """file_id of the files with a path, which several may have, or of one by its id."""
+    return facts.files.filter(F.col("id" if isinstance(path, int) else "path") == path).select(F.col("id").alias("file_id"))
 
 
 def narrowest() -> list[Column]:
@@ -33,7 +34,7 @@ def on_source(lengths: DataFrame, line: int, col: int) -> DataFrame:
     return lengths.filter((F.col("line") == line) & (F.col("length") > col)).select("file_id")
 
 
-def symbol_at(facts, path: str, line: int, col: int, lengths: DataFrame | None = None) -> DataFrame:
+def symbol_at(facts, path: str | int, line: int, col: int, lengths: DataFrame | None = None) -> DataFrame:
     """The narrowest symbol that holds a position; with lengths, positions beyond the text have none."""
     files = in_file(facts, path)
     if lengths is not None:
@@ -102,7 +103,7 @@ def ancestors(facts, start: DataFrame | None = None) -> DataFrame:
     return chains(facts, start).drop("parent").join(facts.scopes, "id")
 
 
-def scope_at(facts, path: str, line: int, col: int) -> DataFrame:
+def scope_at(facts, path: str | int, line: int, col: int) -> DataFrame:
     """The innermost scope at a position and all scopes around it; depth 0 is the innermost."""
     rows = facts.scopes.filter(contains(line, col)).join(F.broadcast(in_file(facts, path)), "file_id", "left_semi")
     return ancestors(facts, rows.orderBy(*narrowest()).limit(1)).drop("start_id")

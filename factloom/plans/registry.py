@@ -228,7 +228,7 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
  union all select target_symbol_id, 'annotations', cast(row_number() over (partition by target_symbol_id order by id) - 1 as int), name from cx_annotations where target_symbol_id in (select id from one)""",
     ),
     "scope_at": (
-        lambda x: S.scope_at(x, path_of(x, 3), 725, 10),
+        lambda x: S.scope_at(x, 3, 725, 10),
         f"with recursive one as (select * from cx_scopes where file_id = 3 and {SPAN.format(725, 10)} order by end_line - start_line, end_col - start_col, id limit 1), chain(depth, id, parent) as (select 0, id, parent_scope_id from one union all select c.depth + 1, s.id, s.parent_scope_id from chain c join cx_scopes s on s.id = c.parent) select c.depth, s.* from chain c join cx_scopes s on s.id = c.id",
     ),
     "symbols_list": (D.symbols, f"with {ROWS} select * from sr"),
