@@ -126,7 +126,8 @@ def symbol_detail(facts, symbols: DataFrame) -> DataFrame:
 
 
 def detail_rows(detail: DataFrame) -> DataFrame:
-    """A symbol's detail with one row per list element: id, part, ordinal, name."""
+    """A symbol's detail with one row per list element: id, part, ordinal, name. Symbols with one id share their lists."""
+    detail = detail.dropDuplicates(["id"])
     parts = [detail.select("id", F.lit(p).alias("part"), F.posexplode(F.transform(p, lambda x: x["name"])).alias("ordinal", "name")) for p in ("parameters", "members", "type_parameters", "annotations")]
     out = parts[0]
     for x in parts[1:]:

@@ -96,7 +96,7 @@ AT_BUSY = AT_FIRST.format("s").replace("first.", "busy.")
 def busy_place(facts: Facts):
     marked = facts.annotations.select(F.col("target_symbol_id").alias("id"))
     row = facts.symbols.filter("file_id is not null").join(marked, "id", "left_semi").orderBy(F.col("end_line") - F.col("start_line"), F.col("end_col") - F.col("start_col"), "id").first()
-    return path_of(facts, row.file_id), row.start_line, row.start_col
+    return row.file_id, row.start_line, row.start_col
 
 
 EXTRA = ("x_part", "x_flag", "x_line")
