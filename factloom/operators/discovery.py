@@ -105,9 +105,9 @@ def package_count(facts) -> DataFrame:
 
 
 def top_symbols(facts, n: int) -> DataFrame:
-    """The n symbols most referenced from other files; none for n <= 0."""
+    """The n symbols most referenced from other files; none for n <= 0. Of symbols with one id, packages are last."""
     rows = symbol_rows(facts).filter("ref_count > 0")
-    return rows.orderBy(F.desc("external_ref_count"), "id").limit(max(n, 0))
+    return rows.orderBy(F.desc("external_ref_count"), "id", F.col("kind").isin(*PACKAGE_KINDS), "file_id", "name").limit(max(n, 0))
 
 
 def package_symbol(facts, path: str | None = None, symbol_id: int | None = None) -> DataFrame:
