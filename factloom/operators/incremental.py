@@ -72,8 +72,8 @@ def without_links(links: DataFrame, gone: DataFrame, column: str = "target_symbo
 
 
 def cleared_annotations(annotations: DataFrame, gone: DataFrame) -> DataFrame:
-    """Annotations, those that resolve to a symbol that is gone resolving to nothing."""
-    gone = gone.select(F.col("id").alias("resolved_symbol_id"), F.lit(True).alias("gone")).distinct()
+    """Annotations, those that resolve to a symbol that is gone resolving to nothing; as in the SQL, a row for each symbol gone with that id."""
+    gone = gone.select(F.col("id").alias("resolved_symbol_id"), F.lit(True).alias("gone"))
     rows = annotations.join(gone, "resolved_symbol_id", "left")
     return rows.withColumn("resolved_symbol_id", F.when(F.col("gone").isNull(), F.col("resolved_symbol_id"))).select(*annotations.columns)
 
