@@ -66,6 +66,12 @@ def without_files(tables: dict[str, DataFrame], files: DataFrame, columns: dict[
     return {name: rows.join(files.select(F.col("file_id").alias(columns[name])), columns[name], "left_anti") if name in columns else rows for name, rows in tables.items()}
 
 
+def gone_symbols(symbols: DataFrame, gone) -> DataFrame:
+    """id of symbols on which the condition gone holds, unless a symbol that stays has the same id."""
+    stays = symbols.filter(~F.coalesce(gone, F.lit(False))).select("id")
+    return symbols.filter(gone).select("id").join(stays, "id", "left_anti")
+
+
 def without_links(links: DataFrame, gone: DataFrame, column: str = "target_symbol_id") -> DataFrame:
     """Links whose target is not among the symbols (id) that are gone."""
     return links.join(gone.select(F.col("id").alias(column)), column, "left_anti")

@@ -368,7 +368,7 @@ CATALOG: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {
         "select 'symbols' as name, count(*) as n from cx_symbols where file_id is null or file_id % 2 = 0 union all select 'imports', count(*) from cx_imports where file_id % 2 = 0 union all select 'scopes', count(*) from cx_scopes where file_id % 2 = 0",
     ),
     "links_without_targets": (
-        lambda x: I.without_links(x.resolved_references, x.symbols.filter("file_id % 2 = 1")),
+        lambda x: I.without_links(x.resolved_references, I.gone_symbols(x.symbols, F.expr("file_id % 2 = 1"))),
         "select * from cx_resolved_references where target_symbol_id in (select id from cx_symbols where file_id is null or file_id % 2 = 0)",
     ),
     "annotations_cleared": (
