@@ -140,6 +140,24 @@ def test_blocks_are_cut_by_bytes(spark, monkeypatch):
     assert {(x.doc_id, x.component_id) for x in near_dup.near_duplicates(spark, rows).collect()} == want and len({c for _, c in want}) == 1
 
 
+def test_search_moves_a_share_of_the_sets_at_once(spark, monkeypatch):
+    """Rounds, size classes and passes find what one round finds; no step gets more sets than a round may have."""
+    r = random.Random(6)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [" ".join([*passage, *(f"w{r.randrange(10**6)}" for _ in range(2 + k % 3))]) for k in range(40)]
+    texts += [" ".join(f"x{k // 2}_{j}" for j in range(60 + k % 2)) for k in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {(x.doc_id, x.component_id) for x in near_dup.near_duplicates(spark, rows, percent=90).collect()}
+    held, search = [], near_dup.search_groups
+    monkeypatch.setattr(near_dup, "search_groups", lambda found, percent: held.append(found.agg(F.sum(F.length("set"))).first()[0] or 0) or search(found, percent))
+    monkeypatch.setattr(near_dup, "BLOCK", 12)
+    monkeypatch.setattr(near_dup, "LEADERS", 1)
+    monkeypatch.setattr(near_dup, "ROUND_BYTES", 8000)
+    monkeypatch.setattr(near_dup, "ROUND_SHARE", 0)
+    assert {(x.doc_id, x.component_id) for x in near_dup.near_duplicates(spark, rows, percent=90).collect()} == want and len({c for _, c in want}) > 20
+    assert len(held) > 3 and max(held) < 30_000
+
+
 def test_search_finds_all_links():
     r = random.Random(2)
     base = [r.getrandbits(60) for _ in range(60)]
@@ -166,6 +184,13 @@ def test_components(spark):
     assert got == {a: b for a, b in zip(nodes.tolist(), roots.tolist(), strict=True) if a != b}
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 3)
+    edges = [(k, k + 1) for k in range(40)] + [(90, 95), (95, 92)]
+    got = {x.a: x.b for x in components.components(Scratch(spark), spark.createDataFrame(edges, "a long, b long").repartition(4), "c").collect()}
+    assert got == {k: 0 for k in range(1, 41)} | {92: 90, 95: 90}
+
+
 def test_license_base(docs, nothing):
     for r in license_scan.scan(docs).collect():
         w = words_of(TEXTS[r.doc_id], r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
