@@ -64,9 +64,12 @@ def symbol_at_batch(facts, places: DataFrame | None = None) -> DataFrame:
     return innermost(reference_places(facts) if places is None else places, facts.symbols.filter("file_id is not null"), narrowest(), "reference_id", "symbol_id")
 
 
-def innermost_scope(facts) -> DataFrame:
-    """reference_id and scope_id: the scope that a reference stands in."""
-    return innermost(reference_places(facts), facts.scopes, weighed(), "reference_id", "scope_id")
+def innermost_scope(facts, only: DataFrame | None = None) -> DataFrame:
+    """reference_id and scope_id: the scope that a reference stands in, for all references or those with a reference_id in only."""
+    places = reference_places(facts)
+    if only is not None:
+        places = places.join(only.select("reference_id"), "reference_id", "left_semi")
+    return innermost(places, facts.scopes, weighed(), "reference_id", "scope_id")
 
 
 def definition_at(facts, path: str, line: int, col: int) -> DataFrame:

@@ -149,14 +149,19 @@ def resolve_all(facts) -> DataFrame:
 
 
 def call_edges(facts) -> DataFrame:
-    """reference_id, caller_symbol_id, callee_symbol_id of links that are calls; the caller owns the nearest scope of a callable."""
+    """reference_id, caller_symbol_id, callee_symbol_id of links that are calls; the caller is the nearest callable around the reference."""
     kinds = facts.symbols.select(F.col("id").alias("target_symbol_id"), F.col("kind").alias("target_kind"))
     links = facts.resolved_references.select("reference_id", "target_symbol_id").join(kinds, "target_symbol_id").join(refs(facts).select("reference_id", "context"), "reference_id")
-    calls = links.filter((F.col("context") == "call") | ((F.col("context") == "field_access") & F.col("target_kind").isin(*CALLERS)))
+    wanted = links.filter((F.col("context") == "call") | ((F.col("context") == "field_access") & F.col("target_kind").isin(*CALLERS)))
+    calls = cut(wanted.select("reference_id", F.col("target_symbol_id").alias("callee_symbol_id")).distinct())
+    return calls.join(innermost_scope(facts, calls), "reference_id").join(nearest_callable(facts), "scope_id").drop("scope_id")
+
+
+def nearest_callable(facts) -> DataFrame:
+    """scope_id, caller_symbol_id: the callable that owns the nearest of the scopes around each scope, itself included."""
     owners = facts.symbols.filter(F.col("kind").isin(*CALLERS)).select(F.col("id").alias("caller_symbol_id"))
     chain = ancestors(facts).filter("kind = 'function'").select(F.col("start_id").alias("scope_id"), "depth", F.col("symbol_id").alias("caller_symbol_id")).join(owners, "caller_symbol_id", "left_semi")
-    rows = calls.join(innermost_scope(facts), "reference_id").join(chain, "scope_id")
-    return rows.groupBy("reference_id", F.col("target_symbol_id").alias("callee_symbol_id")).agg(F.min_by("caller_symbol_id", F.struct("depth", "caller_symbol_id")).alias("caller_symbol_id"))
+    return chain.groupBy("scope_id").agg(F.min_by("caller_symbol_id", F.struct("depth", "caller_symbol_id")).alias("caller_symbol_id"))
 
 
 def interface_satisfaction(facts) -> DataFrame:
