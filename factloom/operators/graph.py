@@ -35,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast: Spark judges by compressed files, and symbols or scopes of a few MB there can be too large for the driver."""
+    return df.hint("merge")
+
+
 def walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """id and smallest depth of nodes within so many steps; edges: source, target; roots: id. Edges already seen are pruned by anti-join."""
     if depth < 0:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.metrics import located, symbol_rows
 from factloom.functions.patterns import contains
-from factloom.operators.graph import cut
+from factloom.operators.graph import cut, grown
 
 #: Lines of a bucket in which spans and places meet by equality.
 LINES = 64
@@ -51,7 +51,7 @@ def innermost(places: DataFrame, spans: DataFrame, order: list[Column], key: str
     """
     spans = spans.select("id", "file_id", "start_line", "start_col", "end_line", "end_col").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_line") / LINES), F.floor(F.col("end_line") / LINES))))
     places = places.withColumn("bucket", F.floor(F.col("line") / LINES))
-    held = places.join(spans, ["file_id", "bucket"]).filter(contains(F.col("line"), F.col("col")))
+    held = places.join(grown(spans), ["file_id", "bucket"]).filter(contains(F.col("line"), F.col("col")))
     return held.groupBy(key).agg(F.min_by("id", F.struct(*[x.alias(f"o{k}") for k, x in enumerate(order)])).alias(out))
 
 
@@ -68,7 +68,7 @@ def innermost_scope(facts, only: DataFrame | None = None) -> DataFrame:
     """reference_id and scope_id: the scope that a reference stands in, for all references or those with a reference_id in only."""
     places = reference_places(facts)
     if only is not None:
-        places = places.join(only.select("reference_id"), "reference_id", "left_semi")
+        places = places.join(grown(only.select("reference_id")), "reference_id", "left_semi")
     return innermost(places, facts.scopes, weighed(), "reference_id", "scope_id")
 
 
@@ -93,7 +93,7 @@ def chains(facts, start: DataFrame | None = None) -> DataFrame:
         level = cut(level)
     out = level.drop("path")
     for depth in count(1):
-        up = level.select("start_id", "path", F.col("parent").alias("id")).join(rows, "id").filter(~F.array_contains("path", F.col("id")))
+        up = level.select("start_id", "path", F.col("parent").alias("id")).join(grown(rows), "id").filter(~F.array_contains("path", F.col("id")))
         level = cut(up.select("start_id", F.lit(depth).alias("depth"), "id", "parent", F.concat("path", F.array("id")).alias("path")))
         if level.isEmpty():
             break
@@ -103,7 +103,7 @@ def chains(facts, start: DataFrame | None = None) -> DataFrame:
 
 def ancestors(facts, start: DataFrame | None = None) -> DataFrame:
     """start_id, depth and the columns of the scopes on the chains."""
-    return chains(facts, start).drop("parent").join(facts.scopes, "id")
+    return chains(facts, start).drop("parent").join(grown(facts.scopes), "id")
 
 
 def scope_at(facts, path: str | int, line: int, col: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.patterns import last_segment
 from factloom.operators.discovery import PACKAGE_KINDS
-from factloom.operators.graph import cut, package_of_file
+from factloom.operators.graph import cut, grown, package_of_file
 from factloom.operators.position import ancestors, innermost_scope
 
 CALLERS = ("function", "method")
@@ -46,10 +46,10 @@ def targets(facts) -> DataFrame:
 
 
 def by_scope(facts, tie: str = "target_symbol_id") -> DataFrame:
-    """Same file and name, first line within a scope around the reference, from the innermost out."""
-    own = refs(facts).join(targets(facts).withColumnRenamed("target_file", "file_id"), ["file_id", "name"])
+    """Same file and name, first line within a scope around the reference, from the innermost out. Scopes are looked for around references with such a symbol only."""
+    own = cut(refs(facts).join(grown(targets(facts).withColumnRenamed("target_file", "file_id")), ["file_id", "name"]).select("reference_id", "target_symbol_id", "target_line"))
     chain = ancestors(facts).select(F.col("start_id").alias("scope_id"), "depth", F.col("start_line").alias("low"), F.col("end_line").alias("high"))
-    rows = own.join(innermost_scope(facts), "reference_id").join(chain, "scope_id").filter(F.col("target_line").between(F.col("low"), F.col("high")))
+    rows = own.join(grown(innermost_scope(facts, own)), "reference_id").join(grown(chain), "scope_id").filter(F.col("target_line").between(F.col("low"), F.col("high")))
     return candidate(rows, 1, F.col("depth"), F.col(tie), 1.0, "direct")
 
 
@@ -151,16 +151,16 @@ def resolve_all(facts) -> DataFrame:
 def call_edges(facts) -> DataFrame:
     """reference_id, caller_symbol_id, callee_symbol_id of links that are calls; the caller is the nearest callable around the reference."""
     kinds = facts.symbols.select(F.col("id").alias("target_symbol_id"), F.col("kind").alias("target_kind"))
-    links = facts.resolved_references.select("reference_id", "target_symbol_id").join(kinds, "target_symbol_id").join(refs(facts).select("reference_id", "context"), "reference_id")
+    links = facts.resolved_references.select("reference_id", "target_symbol_id").join(grown(kinds), "target_symbol_id").join(grown(refs(facts).select("reference_id", "context")), "reference_id")
     wanted = links.filter((F.col("context") == "call") | ((F.col("context") == "field_access") & F.col("target_kind").isin(*CALLERS)))
     calls = cut(wanted.select("reference_id", F.col("target_symbol_id").alias("callee_symbol_id")).distinct())
-    return calls.join(innermost_scope(facts, calls), "reference_id").join(nearest_callable(facts), "scope_id").drop("scope_id")
+    return calls.join(grown(innermost_scope(facts, calls)), "reference_id").join(grown(nearest_callable(facts)), "scope_id").drop("scope_id")
 
 
 def nearest_callable(facts) -> DataFrame:
     """scope_id, caller_symbol_id: the callable that owns the nearest of the scopes around each scope, itself included."""
     owners = facts.symbols.filter(F.col("kind").isin(*CALLERS)).select(F.col("id").alias("caller_symbol_id"))
-    chain = ancestors(facts).filter("kind = 'function'").select(F.col("start_id").alias("scope_id"), "depth", F.col("symbol_id").alias("caller_symbol_id")).join(owners, "caller_symbol_id", "left_semi")
+    chain = ancestors(facts).filter("kind = 'function'").select(F.col("start_id").alias("scope_id"), "depth", F.col("symbol_id").alias("caller_symbol_id")).join(grown(owners), "caller_symbol_id", "left_semi")
     return chain.groupBy("scope_id").agg(F.min_by("caller_symbol_id", F.struct("depth", "caller_symbol_id")).alias("caller_symbol_id"))
 
 
